@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stratavox.llm.decontaminate import op8_decontaminate
+from stratavox.llm.jaccard import op4_jaccard_join
 from stratavox.llm.quality import op10_quality
 from stratavox.llm.shards import op1_sharding
 from stratavox.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality": op10_quality,
