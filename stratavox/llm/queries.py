@@ -11,9 +11,11 @@ from stratavox.llm.jaccard import op4_jaccard_join
 from stratavox.llm.quality import op10_quality
 from stratavox.llm.shards import op1_sharding
 from stratavox.llm.toxicity import op5_toxicity
+from stratavox.llm.vectors import op2_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_vectors": op2_vectors,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
     "op8_decontaminate": op8_decontaminate,
