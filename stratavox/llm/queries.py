@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratavox.llm.archives import OP7_SQL, op7_warc
 from stratavox.llm.decontaminate import op8_decontaminate
 from stratavox.llm.jaccard import op4_jaccard_join
 from stratavox.llm.quality import op10_quality
 from stratavox.llm.shards import op1_sharding
 from stratavox.llm.toxicity import op5_toxicity
+from stratavox.llm.urlgraph import OP3_SQL, op3_url_filters
 from stratavox.llm.vectors import op2_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_vectors": op2_vectors,
+    "op3_url_filters": op3_url_filters,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filters": OP3_SQL, "op7_warc": OP7_SQL}
