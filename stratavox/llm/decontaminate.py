@@ -7,6 +7,7 @@ verified word by word, so a hash collision never marks anything.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -153,30 +154,31 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def remove_spans(text: str | None, known: list[WindowSet]) -> tuple[str | None, int, int]:
-    """``text`` without the spans of hit words, words, and words hit.
+    """``text`` without the spans of hit words, its words, and words removed.
 
     A span runs from the first to the last byte of consecutive hit words, so separators
-    between them go too; all other bytes stay as they are.
+    between them go too; all other bytes stay as they are. What remains is scanned again,
+    since words on both sides of a span have become neighbours.
     """
-    if not text:
-        return text, 0, 0
-    blob = text.encode()
-    raw = np.frombuffer(blob, dtype=np.uint8)
-    off = np.array([0, len(raw)])
-    hit: np.ndarray | bool = False
-    w = None
-    for s in known:
-        w, some, _ = _scan(raw, off, s)
-        hit = hit | some
-    if w is None or not np.any(hit):
-        return text, 0 if w is None else len(w), 0
-    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-    keep, at = [], 0
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        keep.append(blob[at : w.start[a]])
-        at = int(w.end[b - 1])
-    keep.append(blob[at:])
-    return b"".join(keep).decode(), len(w), int(hit.sum())
+    blob = (text or "").encode()
+    words = removed = 0
+    for turn in itertools.count():
+        raw = np.frombuffer(blob, dtype=np.uint8)
+        off = np.array([0, len(raw)])
+        hit: np.ndarray | bool = False
+        for s in known:
+            w, some, _ = _scan(raw, off, s)
+            hit = hit | some
+            words = words if turn else len(w)
+        if not np.any(hit):
+            return text if not removed else blob.decode(), words, removed
+        removed += int(hit.sum())
+        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+        keep, at = [], 0
+        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            keep.append(blob[at : w.start[a]])
+            at = int(w.end[b - 1])
+        blob = b"".join([*keep, blob[at:]])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_from: float = 0.5) -> DataFrame:

@@ -429,6 +429,22 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of every component: the one with the smallest doc_id.
+
+    Rows that repeat its doc_id are copies of it, of which one row stays. Rows without a
+    doc_id stay all. Only ids are joined with the documents' rows.
+    """
+    found = materialize(join(docs).select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*docs.columns)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under 5-word shingles and a similarity of 0.8."""
     return join(table(spark, sf_dir, "documents"))

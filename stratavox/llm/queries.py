@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stratavox.llm.archives import OP7_SQL, op7_warc
 from stratavox.llm.decontaminate import op8_decontaminate
 from stratavox.llm.jaccard import op4_jaccard_join
+from stratavox.llm.language import op9_language
+from stratavox.llm.packing import op6_packing
 from stratavox.llm.quality import op10_quality
 from stratavox.llm.shards import op1_sharding
 from stratavox.llm.toxicity import op5_toxicity
@@ -21,8 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
+    "op9_language": op9_language,
     "op10_quality": op10_quality,
 }
 
