@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.labelled import fit_logistic, fold, label_sample, sigmoid
 from stratavox.llm.store import table
-from stratavox.llm.words import SPACED, U64, Words, slices
+from stratavox.llm.words import SPACED, U64, Words, ngram_hashes, slices
 
 PARTS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
@@ -31,6 +31,9 @@ MAX_TRAIN, MAX_TRAIN_BYTES = 16_000, 16 << 10
 WINDOW, STRIDE = 6, 3
 LEVEL = 3
 BASE_BYTES, TOXIC_PIECES = 64 << 10, 400
+#: Parts that the calibration measures in turn.
+FOLDS = 3
+FEATURES = 5
 _GRAM, _GRAM_BITS = 5, 22
 
 _FOLDED = np.arange(256, dtype=np.uint8)
@@ -76,7 +79,7 @@ def features(raw: np.ndarray, off: np.ndarray, pair: list[zstandard.ZstdCompress
     """Per document: the best three windows, strong windows, and the logarithm of all."""
     folded = _FOLDED[raw]
     start, size, n = _windows(folded, off)
-    out = np.zeros((len(n), 5))
+    out = np.zeros((len(n), FEATURES))
     if len(start):
         segments = np.column_stack([start, size]).astype("<u8").tobytes()
         data = folded.tobytes()
@@ -116,9 +119,14 @@ def _toxic_content(toxic: list[np.ndarray], ordinary: list[np.ndarray], ratio: f
         edge = np.diff(np.concatenate([[0], strong[_grams(b)].astype(np.int8), [0]]))
         for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
             runs[b[i : j + _GRAM - 1].tobytes()] += 1
-    kept = [(n, r) for r, n in runs.items() if n >= 3 and len(r) > _GRAM]
-    kept = sorted(kept, key=lambda x: (-x[0], x[1]))[:TOXIC_PIECES]
-    return b"".join(r + b"\0" for _, r in reversed(kept))
+    kept = sorted((r for r, n in runs.items() if n >= 3 and len(r) > _GRAM), key=lambda r: (-runs[r], r))[:TOXIC_PIECES]
+    return b"".join(r + b"\0" for r in reversed(kept))
+
+
+def _dictionaries(rows: list[tuple[np.ndarray, int]], prior: float) -> ToxicModel:
+    by = [[b for b, y in rows if y == label] for label in (0, 1)]
+    base = _ordinary_content(by[0])
+    return ToxicModel(base, base + (_toxic_content(by[1], by[0]) if by[1] else b""), None, prior)
 
 
 def _ordinary_content(ordinary: list[np.ndarray]) -> bytes:
@@ -129,21 +137,38 @@ def _ordinary_content(ordinary: list[np.ndarray]) -> bytes:
     return b"".join(b[len(b) // 3 :][:part].tobytes() for b in ordinary)[:BASE_BYTES]
 
 
+def _without_copies(rows: list[tuple[str, int, object]]) -> list[tuple[str, int, object]]:
+    """Rows most of whose 5-word runs no earlier row has: copies would make any of their text look common."""
+    seen: set[int] = set()
+    out = []
+    for row in rows:
+        raw = np.frombuffer(row[0].encode(), dtype=np.uint8)
+        runs = set(ngram_hashes(Words(raw, np.array([0, len(raw)]), SPACED).hash, 5).tolist())
+        if 2 * len(runs & seen) <= len(runs):
+            out.append(row)
+        seen |= runs
+    return out
+
+
 def train(rows: list[tuple[object, str, int]]) -> ToxicModel:
-    """Fit on (doc_id, text, label) rows; every third row calibrates, the others train dictionaries.
+    """Fit on (doc_id, text, label) rows without copies.
 
-    Without both labels the score is the labels' mean, or 0.5 without labels.
+    For the calibration the rows are split in FOLDS: each part is measured with dictionaries
+    trained on the others. The final dictionaries are trained on all. Without both labels
+    the score is the labels' mean, or 0.5 without labels.
     """
     rows = sorted(((t, y, i) for i, t, y in rows if t is not None), key=lambda r: (str(r[2]), r[0]))
     prior = float(np.mean([y for _, y, _ in rows])) if rows else 0.5
-    by = [[_folded(t) for k, (t, y, _) in enumerate(rows) if k % 3 and y == label] for label in (0, 1)]
-    rest = [(t, y) for k, (t, y, _) in enumerate(rows) if k % 3 == 0]
-    base = _ordinary_content(by[0])
-    model = ToxicModel(base, base + (_toxic_content(by[1], by[0]) if by[1] else b""), None, prior)
-    y = np.array([y for _, y in rest])
-    if len(set(y.tolist())) == 2:
-        pair = model.compressors()
-        x = np.concatenate([features(raw, off, pair) for _, _, raw, off in slices(pa.array([t for t, _ in rest], pa.large_string()))])
+    rows = _without_copies(rows)
+    folded = [(_folded(t), y) for t, y, _ in rows]
+    y = np.array([y for _, y in folded])
+    model = _dictionaries(folded, prior)
+    if min((y == 1).sum(), (y == 0).sum()) >= FOLDS:
+        x = np.zeros((len(rows), FEATURES))
+        for k in range(FOLDS):
+            pair = _dictionaries([f for j, f in enumerate(folded) if j % FOLDS != k], prior).compressors()
+            part = pa.array([t for t, _, _ in rows[k::FOLDS]], pa.large_string())
+            x[k::FOLDS] = np.concatenate([features(raw, off, pair) for _, _, raw, off in slices(part)])
         model.weights = fit_logistic(x, y)
     return model
 

@@ -31,10 +31,9 @@ CELL_ROWS, MAX_CELLS, PROBES = 256, 4096, 6
 BLOCK = 1024
 
 
-def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def unit(vectors: list, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision and which are usable: not null, not zero, all components finite."""
-    size = max((len(v) for v in vectors if v is not None), default=0)
-    out = np.zeros((len(vectors), size))
+    out = np.zeros((len(vectors), width))
     ok = np.zeros(len(vectors), dtype=bool)
     for i, v in enumerate(vectors):
         if v is not None and len(v) and None not in v:
@@ -60,13 +59,13 @@ def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
     return c
 
 
-def _classes(vectors: DataFrame) -> DataFrame:
-    """vec_id, h, g of every row (128 bits that stand for the vector; null for unusable ones)."""
+def _hashed(vectors: DataFrame) -> DataFrame:
+    """``vectors`` with h, g: 128 bits that stand for the vector, null for unusable ones."""
     e = F.col("embedding")
     sound = (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(e, lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
     plain = F.transform(e, lambda x: x.cast("double") + F.lit(0.0))
-    return vectors.select("vec_id", F.when(sound, F.xxhash64(plain)).alias("h"), F.when(sound, F.xxhash64(F.lit(1), plain)).alias("g"), "embedding")
+    return vectors.select("vec_id", "embedding", F.when(sound, F.xxhash64(plain)).alias("h"), F.when(sound, F.xxhash64(F.lit(1), plain)).alias("g"))
 
 
 def _put(centroids, key: DataFrame) -> DataFrame:
@@ -76,13 +75,11 @@ def _put(centroids, key: DataFrame) -> DataFrame:
         c = centroids.value
         for batch in batches:
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            x, ok = unit(batch.column(2).to_pylist())
-            for size in {x.shape[1]} - {c.shape[1]}:
-                x = np.pad(x, ((0, 0), (0, max(0, c.shape[1] - size))))
+            x, ok = unit(batch.column(2).to_pylist(), c.shape[1])
             probes = min(PROBES, len(c))
             for i in range(0, len(x), 1024):
                 at = np.flatnonzero(ok[i : i + 1024]) + i
-                s = x[at][:, : c.shape[1]] @ c.T
+                s = x[at] @ c.T
                 cells = np.sort(np.argpartition(-s, probes - 1, axis=1)[:, :probes], axis=1)
                 row = np.repeat(at, probes)
                 flat = x[row]
@@ -167,45 +164,47 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of ``vectors(vec_id, embedding)``.
 
     A vector that is null, empty, zero, or holds null or non-finite components links with
-    nothing. Repeated vectors link with each other, as do rows that repeat a vec_id. Vectors
-    of another length are compared as if filled up with zeros.
+    nothing, and is kept. Equal vectors link with each other, also under one vec_id. Vectors
+    of another length are compared as if filled up with zeros. A null vec_id names no
+    component and is not kept, unless its vector is unusable.
     """
     spark = vectors.sparkSession
-    rows = _classes(vectors)
-    own = materialize(rows.drop("embedding"), "vectors")
-    groups = own.where("h IS NOT NULL").groupBy("h", "g").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    hashed = _hashed(vectors)
+    own = materialize(hashed.select("vec_id", "h", "g", F.size("embedding").alias("size")), "vectors")
+    groups = own.where("h IS NOT NULL").groupBy("h", "g").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"))
     groups = materialize(groups, "groups")
-    n = groups.count()
+    n, width = groups.agg(F.count("*"), F.max("size")).first()
     if n == 0:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    part = min(1.0, MAX_TRAIN / n)
-    lot = F.pmod(F.xxhash64("h", "g"), F.lit(1 << 30)) < int(part * (1 << 30))
-    chosen = groups.where(lot).select(F.col("id").alias("vec_id")).limit(2 * MAX_TRAIN)
-    fit_on = vectors.select("vec_id", "embedding").join(F.broadcast(chosen), "vec_id").limit(2 * MAX_TRAIN).orderBy("vec_id").toArrow().column("embedding").to_pylist()
-    x, ok = unit(fit_on)
+    # One row stands for a class. Keyed by the id as well, the copies of a large class do not meet in one task.
+    heads = groups.select(F.col("h").alias("hh"), F.col("g").alias("gg"), "first", "copies")
+    same = (F.col("h") == F.col("hh")) & (F.col("g") == F.col("gg")) & F.col("vec_id").eqNullSafe(F.col("first"))
+    firsts = hashed.join(heads, same).dropDuplicates(["h", "g"]).select(F.col("h").alias("id"), "copies", "embedding")
+    firsts = materialize(firsts, "firsts")
+    chosen = firsts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, MAX_TRAIN / n) * (1 << 30))).limit(2 * MAX_TRAIN)
+    x, ok = unit(chosen.orderBy("id").toArrow().column("embedding").to_pylist(), width)
     cells = max(1, min(n // CELL_ROWS, MAX_CELLS, int(ok.sum())))
-    centroids = spark.sparkContext.broadcast(fit_cells(x[ok], cells))
+    centroids = spark.sparkContext.broadcast(fit_cells(x[ok] if ok.any() else np.eye(1, width), cells))
 
-    firsts = vectors.select("vec_id", "embedding").join(groups.select(F.col("id").alias("vec_id"), "copies"), "vec_id").dropDuplicates(["vec_id"])
-    put = materialize(_put(centroids, firsts.select("vec_id", "copies", "embedding")), "cells")
+    put = materialize(_put(centroids, firsts), "cells")
     blocks = put.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = put.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    pairs = dealt.withColumn("k", each).withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k"))
+    pairs = dealt.withColumn("other", each).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     found = pairs.select("cell", "i", "j", "block", "id", "copies", "x", "cells").groupBy("cell", "i", "j").applyInArrow(_compare(threshold), "id long, other long, links long")
     found = materialize(found, "found")
 
     roots = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
-    named = roots.join(least, "root").select(F.col("node").alias("id"), "component")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    facts = groups.join(links, "id", "left").join(named, "id", "left")
-    facts = facts.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return (
-        own.join(facts, ["h", "g"], "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    facts = groups.withColumnRenamed("h", "id").join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    facts = facts.withColumn("root", F.coalesce("root", "id"))
+    least = facts.groupBy("root").agg(F.min("first").alias("component_id"))
+    facts = facts.join(least, "root").select(F.col("id").alias("h"), "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = own.join(facts, ["h", "g"], "left").select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("h").isNull().alias("alone")
     )
+    kept = F.col("alone") | F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))
+    return out.select("vec_id", "n_links", "component_id", kept.alias("kept"))
 
 
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

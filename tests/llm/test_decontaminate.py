@@ -1,0 +1,77 @@
+import hashlib
+import random
+import re
+
+from stratavox.llm.decontaminate import clean, op8_decontaminate, remove_spans, report, window_set
+from tests.conftest import SF, SF2
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def brute(docs, items):
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for k in range(len(w) - n + 1) if n else ():
+            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    sizes = {len(k) for k in windows}
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                ids = windows.get(tuple(w[k : k + n]))
+                if ids:
+                    hit.update(range(k, k + n))
+                    found |= ids
+        yield i, len(w), len(hit), len(found), ",".join(sorted(found)), bool(hit)
+
+
+def test_query_matches_brute_force(spark):
+    for sf in (SF, SF2):
+        docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+        items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+        want = sorted((*r[:4], hashlib.sha256(r[4].encode()).hexdigest(), r[5]) for r in brute(docs, items))
+        got = sorted(tuple(r) for r in op8_decontaminate(spark, sf).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+        assert got == want and any(r[5] for r in got)
+
+
+def odd_items(rng, words):
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    return [(1, pick(25)), (2, pick(10)), (3, "only four short words"), (4, None), (5, ""), (6, "..."), (10, "zebra"), (2, pick(12)), (7, "Étude ÉTUDE über 中文 x y z p q r s")]
+
+
+def test_odd_rows(spark, odd_docs, words):
+    rng = random.Random(1)
+    items = odd_items(rng, words)
+    planted = [f"{rng.choice(words)} {t.upper() if t.isascii() else t}, tail! ONLY four-short, words" for _, t in items if t]
+    more = spark.createDataFrame([(100 + k, t) for k, t in enumerate(planted)], "doc_id long, text string")
+    docs = odd_docs.select("doc_id", "text").union(more)
+    bench = spark.createDataFrame([(*r, 0) for r in items], "item_id long, text string, n int")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    key = lambda r: tuple(map(str, r))
+    want = sorted(brute(rows, items), key=key)
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.items), r.contaminated) for r in report(docs, bench).collect()), key=key)
+    assert got == want
+    assert not report(docs, bench.limit(0)).where("contaminated").count()
+    assert report(docs.limit(0), bench).count() == 0 == clean(odd_docs.limit(0), bench).count()
+    left = clean(odd_docs, bench)
+    assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
+
+
+def test_spans_go_and_the_rest_stays():
+    known = [window_set([(1, "a b c d e f g h i j k")])]
+    assert remove_spans("Start, A b c d e f g h i j K end.", known) == ("Start,  end.", 13, 11)
+    assert remove_spans("a b c d e f g h i", known) == ("a b c d e f g h i", 9, 0)
+    # What a removal brings together is scanned again.
+    nested = "a b c d e a b c d e f g h i j f g h i j"
+    assert remove_spans(nested, known)[0].split() == []
+
+
+def test_clean_drops_what_is_mostly_benchmark(spark):
+    item = "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1"
+    docs = spark.createDataFrame([(1, f"{item} rest", 5), (2, f"{item} " + "own words " * 10, 5), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: r for r in clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert sorted(out) == [2, 3] and out[2].text.strip() == ("own words " * 10).strip() and out[2].n_chars == len(out[2].text)
