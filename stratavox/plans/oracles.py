@@ -85,6 +85,20 @@ def _varint() -> str:
     return f"CASE {' '.join(forms)} END"
 
 
+_HASHES = f"""cells AS (SELECT CAST(gx >> 4 AS INTEGER) AS chunk_x, CAST(gz >> 4 AS INTEGER) AS chunk_z, (y + 16) * 256 + (gz & 15) * 16 + (gx & 15) AS i, pal FROM b),
+chunks AS (SELECT DISTINCT chunk_x, chunk_z FROM cells),
+dense AS (SELECT c.chunk_x, c.chunk_z, list(CAST(coalesce(pal, {AIR_CODE}) AS BIGINT) ORDER BY r.i) AS codes FROM chunks c CROSS JOIN range(12288) r(i)
+LEFT JOIN cells x ON x.chunk_x = c.chunk_x AND x.chunk_z = c.chunk_z AND x.i = r.i GROUP BY c.chunk_x, c.chunk_z),
+hashes AS (SELECT chunk_x, chunk_z, {_SIGNED} AS hash FROM (SELECT chunk_x, chunk_z, list_reduce(list_prepend(1::BIGINT, codes), lambda a, x: (a * 31 + x) & 4294967295) AS h FROM dense))"""
+_LEVELS = f"""l1 AS MATERIALIZED {_level('runs')}, l2 AS MATERIALIZED {_level('l1')}, l3 AS MATERIALIZED {_level('l2')}, l4 AS MATERIALIZED {_level('l3')},
+leveled AS (SELECT 0 AS level, run_ord, {_COLS} FROM runs {' '.join(f'UNION ALL SELECT {k}, 0, {_COLS} FROM l{k}' for k in range(1, 5))})"""
+_TILES = f"""placed AS (SELECT CAST(chunk_x >> 2 AS INTEGER) AS pos_x, CAST(chunk_z >> 2 AS INTEGER) AS pos_z, chunk_z & 31 AS sz, chunk_x & 31 AS sx, min_y, max_y FROM bounds),
+t0 AS {_fold('placed', 'pos_x, pos_z', 'sz, sx')}, """ + ", ".join(
+    f"u{k} AS (SELECT CAST(pos_x >> 1 AS INTEGER) AS px, CAST(pos_z >> 1 AS INTEGER) AS pz, pos_x AS cx, pos_z AS cz, min_y, max_y FROM t{k - 1}), "
+    f"t{k} AS (SELECT px AS pos_x, pz AS pos_z, min_y, max_y FROM {_fold(f'u{k}', 'px, pz', 'cx, cz')})"
+    for k in range(1, 5)
+)
+
 ORACLES: dict[str, str] = {
     "region_path_parse": f"WITH {_P} SELECT seq, rx, rz FROM coords",
     # Blocks (8, -40): chunks 0 and -3, radius 40, hence regions -2..1 and -2..1.
@@ -127,12 +141,7 @@ SELECT o.px, o.pz, ord, rep_flags, color, flags FROM o JOIN f ON o.px = f.px AND
 {' UNION ALL '.join(f'SELECT {k} AS level, {_COLS} FROM l{k}' for k in range(1, 5))}""",
     "lod_top_run": f"""WITH {_RUNS}, top AS (SELECT gx, gz, max(run_ord) AS run_ord, arg_max(y_min, run_ord) AS y_min, arg_max(y_max, run_ord) AS y_max, arg_max(color, run_ord) AS color, arg_max(flags, run_ord) AS flags FROM runs GROUP BY gx, gz)
 SELECT {_COLS} FROM {_level('top')} WHERE color <> 0""",
-    "chunk_hash": f"""WITH {_B}, cells AS (SELECT CAST(gx >> 4 AS INTEGER) AS chunk_x, CAST(gz >> 4 AS INTEGER) AS chunk_z, (y + 16) * 256 + (gz & 15) * 16 + (gx & 15) AS i, pal FROM b),
-chunks AS (SELECT DISTINCT chunk_x, chunk_z FROM cells),
-dense AS (SELECT c.chunk_x, c.chunk_z, list(CAST(coalesce(pal, {AIR_CODE}) AS BIGINT) ORDER BY r.i) AS codes FROM chunks c CROSS JOIN range(12288) r(i)
-LEFT JOIN cells x ON x.chunk_x = c.chunk_x AND x.chunk_z = c.chunk_z AND x.i = r.i GROUP BY c.chunk_x, c.chunk_z),
-hashed AS (SELECT chunk_x, chunk_z, list_reduce(list_prepend(1::BIGINT, codes), lambda a, x: (a * 31 + x) & 4294967295) AS h FROM dense)
-SELECT chunk_x, chunk_z, {_SIGNED} AS hash FROM hashed""",
+    "chunk_hash": f"WITH {_B}, {_HASHES} SELECT chunk_x, chunk_z, hash FROM hashes",
     "blob_checksum": f"""WITH {_T}, bytes AS (SELECT doc_id, list_transform(range(0, len(hx) // 2), lambda i: CAST(('0x' || substring(hx, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)) AS b FROM t),
 hashed AS (SELECT doc_id, list_reduce(list_prepend(1::BIGINT, b), lambda a, x: (a * 31 + CASE WHEN x > 127 THEN x - 256 ELSE x END) & 4294967295) AS h FROM bytes)
 SELECT doc_id, {_SIGNED} AS checksum FROM hashed""",
@@ -153,4 +162,22 @@ SELECT k, slot % 32 AS local_x, slot // 32 AS local_z, raw // 256 AS sector_offs
 b AS (SELECT *, CASE WHEN size <= 1 THEN 0 WHEN size <= 2 THEN 1 WHEN size <= 4 THEN 2 ELSE 3 END AS bits FROM s),
 e AS (SELECT k, size, bits, i, CASE WHEN bits > 0 AND i < 64 // greatest(bits, 1) THEN (w >> CAST(i * bits AS BIGINT)) & ((1 << bits) - 1) ELSE 0 END AS v FROM b, range(64) r(i))
 SELECT k, size, bits, CAST(sum(v * (i + 1)) AS BIGINT) AS weighted FROM e GROUP BY k, size, bits""",
+    "scan_world": f"""WITH {_RUNS}, {_BOUNDS.split(_BLOCKS + ',')[1]}, {_HASHES},
+n AS (SELECT gx >> 4 AS cx, gz >> 4 AS cz, CAST(count(*) AS INTEGER) AS n_runs, CAST(sum(y_max - y_min + 1) AS INTEGER) AS height FROM runs GROUP BY 1, 2)
+SELECT h.chunk_x, h.chunk_z, min_y, max_y, hash, coalesce(n_runs, 0) AS n_runs, coalesce(height, 0) AS height
+FROM hashes h JOIN bounds USING (chunk_x, chunk_z) LEFT JOIN n ON cx = h.chunk_x AND cz = h.chunk_z""",
+    # The blob of a tile as hex: run counts of its 4096 columns, then its runs; hashed as signed bytes.
+    "bake_world": f"""WITH {_RUNS}, {_BOUNDS.split(_BLOCKS + ',')[1]}, {_LEVELS}, {_TILES},
+tiles AS ({' UNION ALL '.join(f'SELECT {k} AS level, pos_x, pos_z, min_y FROM t{k}' for k in range(5))}),
+cut AS (SELECT level, gx >> 6 AS pos_x, gz >> 6 AS pos_z, (gx & 63) * 64 + (gz & 63) AS cell, run_ord,
+  {_HEX[4].format('y_min')} || {_HEX[4].format('y_max')} || {_HEX[8].format('color')} || {_HEX[4].format('flags')} AS record FROM leveled),
+counts AS (SELECT level, pos_x, pos_z, cell, count(*) AS n FROM cut GROUP BY ALL),
+heads AS (SELECT t.level, t.pos_x, t.pos_z, string_agg({_varint()}, '' ORDER BY cell) AS head FROM (SELECT t.*, r.cell, coalesce(c.n, 0) AS n FROM tiles t CROSS JOIN range(4096) r(cell)
+  LEFT JOIN counts c ON c.level = t.level AND c.pos_x = t.pos_x AND c.pos_z = t.pos_z AND c.cell = r.cell) t GROUP BY ALL),
+bodies AS (SELECT level, pos_x, pos_z, string_agg(record, '' ORDER BY cell, run_ord) AS body FROM cut GROUP BY ALL),
+blobs AS (SELECT t.level, t.pos_x, t.pos_z, min_y, head || coalesce(body, '') AS hx FROM tiles t JOIN heads h ON h.level = t.level AND h.pos_x = t.pos_x AND h.pos_z = t.pos_z
+  LEFT JOIN bodies b ON b.level = t.level AND b.pos_x = t.pos_x AND b.pos_z = t.pos_z),
+bytes AS (SELECT level, pos_x, pos_z, min_y, len(hx) // 2 AS raw_bytes, list_transform(range(0, len(hx) // 2), lambda i: CAST(('0x' || substring(hx, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)) AS b FROM blobs),
+hashed AS (SELECT *, list_reduce(list_prepend(1::BIGINT, b), lambda a, x: (a * 31 + CASE WHEN x > 127 THEN x - 256 ELSE x END) & 4294967295) AS h FROM bytes)
+SELECT level, pos_x, pos_z, min_y, {_SIGNED} AS checksum, raw_bytes FROM hashed""",
 }
