@@ -34,6 +34,8 @@ BASE_BYTES, TOXIC_PIECES = 64 << 10, 400
 #: Parts that the calibration measures in turn.
 FOLDS = 3
 FEATURES = 5
+#: Runs by which copies among the training rows are known.
+SKETCH = 32
 _GRAM, _GRAM_BITS = 5, 22
 
 _FOLDED = np.arange(256, dtype=np.uint8)
@@ -138,15 +140,18 @@ def _ordinary_content(ordinary: list[np.ndarray]) -> bytes:
 
 
 def _without_copies(rows: list[tuple[str, int, object]]) -> list[tuple[str, int, object]]:
-    """Rows most of whose 5-word runs no earlier row has: copies would make any of their text look common."""
+    """Rows without near copies of earlier ones, which would make any of their text look common.
+
+    A copy is known by its least hashed 5-word runs, half of which an earlier row has.
+    """
     seen: set[int] = set()
     out = []
     for row in rows:
         raw = np.frombuffer(row[0].encode(), dtype=np.uint8)
-        runs = set(ngram_hashes(Words(raw, np.array([0, len(raw)]), SPACED).hash, 5).tolist())
-        if 2 * len(runs & seen) <= len(runs):
+        least = set(np.unique(ngram_hashes(Words(raw, np.array([0, len(raw)]), SPACED).hash, 5))[:SKETCH].tolist())
+        if 2 * len(least & seen) <= len(least):
             out.append(row)
-        seen |= runs
+        seen |= least
     return out
 
 
