@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from stratavox.plans.job import BakeOptions, bake, parse, run
 from stratavox.sources import writer as w
@@ -289,3 +290,19 @@ def test_stream(spark, world, tmp_path):
 def test_writer_is_its_own_zip_reader(world):
     with zipfile.ZipFile(io.BytesIO((world / "world.zip").read_bytes())) as z:
         assert "save/region/r.0.0.mca" in z.namelist()
+
+
+@pytest.mark.parametrize(("levels", "top"), [(0, False), (2, True), (3, False), (6, False), (6, True)])
+def test_bulk_levels_are_those_of_the_dataframe_pyramid(spark, world, levels, top):
+    from stratavox.operators.tiles import nested_tiles
+    from stratavox.plans.job import assemble, encoded_tiles
+    from stratavox.sources.blobs import encode
+
+    box = Box.around(0, 0, 400)
+    chunks = scan(discover(spark, str(world / "region"), box), box).cache()
+    # A second file for one place, and a chunk of air on its own.
+    chunks = chunks.union(chunks.where("chunk_x = 0 AND chunk_z = 0").selectExpr("'z' AS path", *[c for c in chunks.columns if c != "path"]).withColumn("runs", F.slice("runs", 1, 300)))
+    made = assemble(chunks, levels, top, keep=None)
+    columns = ["level", "pos_x", "pos_z", "min_y", "checksum", "raw_bytes"]
+    want = sorted(tuple(r) for r in encode(nested_tiles(made.tiles, made.runs)).select(*columns).collect())
+    assert sorted(tuple(r) for r in encoded_tiles(chunks, levels, top).select(*columns).collect()) == want
