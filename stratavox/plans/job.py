@@ -6,23 +6,21 @@ import argparse
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratavox.operators.region_levels import region_tiles
+from stratavox.operators.region_levels import STEP, region_tiles, tiles_above
 from stratavox.operators.relations import last_wins
-from stratavox.operators.tiles import MAX_LEVEL, REGION_LEVELS, nested_tiles, pyramid, tile_pyramid, tiles_of_chunks
-from stratavox.sources.blobs import DEFAULT_LEVEL, encode
+from stratavox.operators.tiles import MAX_LEVEL, REGION_LEVELS, pyramid, tile_pyramid, tiles_of_chunks
+from stratavox.sources.blobs import DEFAULT_LEVEL
 from stratavox.sources.regions import Box, discover, runs_of, scan
 from stratavox.sources.sqlite import write_tiles
 from stratavox.sources.tables import written
 
 
-_NESTED = "array<struct<cell:int,run_ord:int,y_min:int,y_max:int,color:bigint,flags:int>>"
-
-
 @dataclass(frozen=True)
 class BakeOptions:
     """Options of a bake; the centre is in blocks, the radius in chunks."""
@@ -88,23 +86,12 @@ def assemble(chunks: DataFrame, levels: int, top_only: bool = False, keep: Calla
 
 
 def encoded_tiles(chunks: DataFrame, levels: int, top_only: bool = False, zstd_level: int = DEFAULT_LEVEL) -> DataFrame:
-    """(level, pos_x, pos_z, min_y, checksum, data, raw_bytes) of all tiles: what ``assemble`` and ``encode`` give.
-
-    Levels up to 3 leave their regions as blobs; those above start from the runs of level 3.
-    """
-    good = chunks.where("error IS NULL")
-    last = good.groupBy("chunk_x", "chunk_z").agg(F.max_by(F.struct("min_y", "max_y", "slot"), "path").alias("c")).select("chunk_x", "chunk_z", "c.*")
-    tiles = tile_pyramid(tiles_of_chunks(last, ["slot"]), levels)
-    blobs = written(region_tiles(good, levels, top_only, zstd_level), "blobs")
-    columns = ["level", "pos_x", "pos_z", "checksum", "data", "raw_bytes"]
-    lower = tiles.where(F.col("level") <= REGION_LEVELS).join(blobs.select(*columns), columns[:3], "left")
-    none = encode(lower.where("data IS NULL").select(*columns[:3], "min_y", F.lit(None).cast(_NESTED).alias("runs")), zstd_level)
-    out = lower.where("data IS NOT NULL").select(*columns[:3], "min_y", *columns[3:]).union(none)
-    if levels > REGION_LEVELS:
-        base = blobs.where(F.col("level") == REGION_LEVELS).select(F.explode("runs").alias("r")).select("r.*").withColumn("run_ord", F.lit(0))
-        upper = pyramid(base, levels - REGION_LEVELS, top_only).where("level > 0").withColumn("level", F.col("level") + REGION_LEVELS)
-        out = out.union(encode(nested_tiles(tiles.where(F.col("level") > REGION_LEVELS), upper), zstd_level))
-    return out
+    """(level, pos_x, pos_z, min_y, checksum, data, raw_bytes) of all tiles: what ``assemble`` and ``encode`` give."""
+    steps = [written(region_tiles(chunks, levels, top_only, zstd_level), "tiles")]
+    for level in range(REGION_LEVELS, levels, STEP):
+        steps.append(written(tiles_above(steps[-1], level, levels, top_only, zstd_level), "tiles"))
+    columns = ["level", "pos_x", "pos_z", "min_y", "checksum", "data", "raw_bytes"]
+    return reduce(DataFrame.union, [s.select(*columns) for s in steps])
 
 
 def bake(spark: SparkSession, options: BakeOptions) -> Baked:
@@ -128,7 +115,7 @@ def run(spark: SparkSession, options: BakeOptions) -> dict[str, float]:
     took = time.time() - at
     say(f"decoding: {found} chunks, {bad} skipped, {took:.2f} s, {found / max(took, 1e-9):.0f} chunks/s")
     at = time.time()
-    encoded = written(encoded_tiles(chunks, options.detail_levels, options.top_only, options.zstd_level), "tiles")
+    encoded = encoded_tiles(chunks, options.detail_levels, options.top_only, options.zstd_level)
     sizes = {r["level"]: (r["n"], r["bytes"]) for r in encoded.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("bytes")).collect()}
     tiles, total = sum(n for n, _ in sizes.values()), sum(b for _, b in sizes.values())
     say(f"pyramid: {tiles} tiles, {(time.time() - at) * 1000:.0f} ms; by level {({k: sizes[k][0] for k in sorted(sizes)})}")
