@@ -210,3 +210,17 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op2_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all embeddings at a cosine of 0.95."""
     return near(table(spark, sf_dir, "embeddings"))
+
+
+#: Over all pairs, so for small tables only.
+OP2_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+    WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {THRESHOLD}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN component c ON c.vec_id = v.vec_id LEFT JOIN counted n ON n.vec_id = v.vec_id"""
