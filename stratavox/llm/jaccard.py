@@ -23,6 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +39,9 @@ PERCENT = 80
 FIRST_LOOK = 30
 #: Classes that hold a token, from which on it counts as frequent.
 FREQUENT = 9
-#: Entries of a bucket in the token counts; there are as many buckets as that takes.
+#: Entries of a bucket in the token counts, about; there are as many buckets as that takes.
 BUCKET_ENTRIES = 1 << 18
-#: Entries a task gathers before it hands them on.
+#: Tokens of a lot of classes.
 FLUSH_ENTRIES = 1 << 20
 #: Bits of the filter of remaining classes: a fixed size whatever the input. Its false hits cost time only.
 FILTER_BITS = 25
@@ -97,107 +99,149 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long")
 
 
-def _bucket_of(tokens: np.ndarray, buckets: int) -> np.ndarray:
-    """Equal ranges of the hash space."""
-    return ((tokens >> U64(32)) * U64(buckets)) >> U64(32)
+def _postings(docs: DataFrame, whole: bool, keep=None) -> DataFrame:
+    """Lots of classes with their tokens: the first look of every class, or all tokens of the classes in ``keep``.
 
-
-def _packed(keys: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, columns as bytes) of entries dealt to buckets by key."""
-    order = np.argsort(keys)
-    columns = [c[order] for c in columns]
-    bucket = _bucket_of(keys[order], buckets)
-    cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    if spans:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), *(pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for c in columns)],
-            names=["bucket", *(f"c{i}" for i in range(len(columns)))],
-        )
-
-
-def _entries(docs: DataFrame, buckets: int, whole: bool, keep=None) -> DataFrame:
-    """(bucket, tokens, classes): the first look of every class, or all tokens of the classes in ``keep``.
-
-    A task passes a class on once, however many of its rows have it.
+    A row is a lot (about FLUSH_ENTRIES tokens): its number, the classes, how many tokens
+    each has, and the tokens, all as bytes. A lot holds a class once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        tokens, classes, held = [], [], 0
+        task, number = TaskContext.get().partitionId(), 0
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def lot() -> pa.RecordBatch:
+            fp, n = np.array(list(held), dtype=np.int64), np.array([len(v) for v in held.values()], dtype=np.int64)
+            columns = [pa.array([x.tobytes()], pa.binary()) for x in (fp, n, np.concatenate(list(held.values())))]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), *columns], names=["lot", "fps", "sizes", "tokens"])
+
         for batch in batches:
             for _, _, raw, off in slices(batch.column(0)):
                 for s in shingle_sets(raw, off):
                     fp = fingerprint(s)
-                    if not len(s) or fp in seen or (keep is not None and not _may_hold(keep.value, fp)):
+                    if not len(s) or fp in held or (keep is not None and not _may_hold(keep.value, fp)):
                         continue
-                    if len(seen) > 1 << 20:
-                        seen.clear()
-                    seen.add(fp)
-                    part = s if whole else s[: int(first_look(np.int64(len(s))))]
-                    tokens.append(part)
-                    classes.append(np.full(len(part), fp, dtype=np.int64))
-                    held += len(part)
-                    if held >= FLUSH_ENTRIES:
-                        t = np.concatenate(tokens)
-                        yield from _packed(t, buckets, t, np.concatenate(classes))
-                        tokens, classes, held = [], [], 0
+                    held[fp] = s if whole else s[: int(first_look(np.int64(len(s))))]
+                    size += len(held[fp])
+                    if size >= FLUSH_ENTRIES:
+                        yield lot()
+                        held, size, number = {}, 0, number + 1
         if held:
-            t = np.concatenate(tokens)
-            yield from _packed(t, buckets, t, np.concatenate(classes))
+            yield lot()
 
-    return docs.select("text").mapInArrow(run, "bucket long, c0 binary, c1 binary")
+    return docs.select("text").mapInArrow(run, "lot long, fps binary, sizes binary, tokens binary")
 
 
-def _column(t: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column(name).to_pylist()), dtype=kind)
+def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of equal keys."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return list(zip(cuts.tolist(), np.append(cuts[1:], len(keys)).tolist(), strict=True))
 
 
-def _shared(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token, class, classes that hold the token) of a bucket's entries whose token several classes hold."""
-    tokens, classes = _column(t, "c0", U64), _column(t, "c1", np.int64)
-    order = np.lexsort((classes, tokens))
-    tokens, classes = tokens[order], classes[order]
-    new = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])])
-    tokens, classes = tokens[new], classes[new]
-    at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    df = np.repeat(np.diff(np.append(at, len(tokens))), np.diff(np.append(at, len(tokens))))
-    some = df > 1
-    return tokens[some], classes[some], df[some]
+def _dealt(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bucket, lot, tokens, classes of the lot that hold each) by equal ranges of the hash space."""
+        for batch in batches:
+            for lot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens, n = np.unique(np.frombuffer(data.as_buffer(), dtype=U64), return_counts=True)
+                bucket = ((tokens >> U64(32)) * U64(buckets)) >> U64(32)
+                n = np.minimum(n, 255).astype(np.uint8)
+                spans = _spans(bucket)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(bucket[i]) for i, _ in spans], pa.int64()),
+                        pa.array([lot] * len(spans), pa.int64()),
+                        pa.array([tokens[i:j].tobytes() for i, j in spans], pa.binary()),
+                        pa.array([n[i:j].tobytes() for i, j in spans], pa.binary()),
+                    ],
+                    names=["bucket", "lot", "tokens", "counts"],
+                )
 
+    return run
 
-def _count_shared(t: pa.Table) -> pa.Table:
-    _, classes, _ = _shared(t)
-    fp, n = np.unique(classes, return_counts=True)
-    return pa.table({"fp": pa.array(fp, pa.int64()), "shared": pa.array(n, pa.int64())})
 
+def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
 
-def _token_counts(buckets: int):
-    def run(t: pa.Table) -> pa.Table:
-        tokens, classes, df = _shared(t)
-        rows = list(_packed(classes.view(U64), buckets, tokens, classes, df.astype(np.int64)))
-        schema = pa.schema([("bucket", pa.int64()), ("c0", pa.binary()), ("c1", pa.binary()), ("c2", pa.binary())])
-        return pa.Table.from_batches(rows, schema) if rows else schema.empty_table()
 
-    return run
+def _shared_tokens(t: pa.Table) -> pa.Table:
+    """For each lot of a bucket its tokens that several classes hold, and how many do.
+
+    A token is there once for each lot, however many classes of it have the token. A lot
+    counts up to 255 classes, and a class in two lots counts twice: the order of tokens that
+    follows is the same for all classes, which is all that is asked of it.
+    """
+    tokens, n = _bytes(t.column("tokens"), U64), _bytes(t.column("counts"), np.uint8).astype(np.int64)
+    sizes = np.array([len(x) for x in t.column("counts").to_pylist()])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(tokens, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], tokens[order][1:] != tokens[order][:-1]]))
+    total = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(tokens))))
+    df = np.empty(len(tokens), dtype=np.int64)
+    df[order] = total
+    some = df > 1
+    tokens, df, row = tokens[some], df[some].astype(np.uint32), row[some]
+    spans = _spans(row)
+    return pa.table(
+        {
+            "lot": t.column("lot").take(pa.array([int(row[i]) for i, _ in spans], pa.int64())),
+            "tokens": pa.array([tokens[i:j].tobytes() for i, j in spans], pa.binary()),
+            "df": pa.array([df[i:j].tobytes() for i, j in spans], pa.binary()),
+        }
+    )
+
+
+def _measured(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of a lot, first index of each class's tokens, tokens, classes that hold each or 0 if one does)."""
+    own = t.filter(pa.compute.is_valid(t.column("fps")))
+    rest = t.filter(pa.compute.is_null(t.column("fps")))
+    fps, sizes, tokens = _bytes(own.column("fps"), np.int64), _bytes(own.column("sizes"), np.int64), _bytes(own.column("tokens"), U64)
+    known, n = _bytes(rest.column("tokens"), U64), _bytes(rest.column("df"), np.uint32).astype(np.int64)
+    order = np.argsort(known)
+    known, n = np.append(known[order], U64(0)), np.append(n[order], 0)
+    at = np.searchsorted(known[:-1], tokens)
+    return fps, np.cumsum(sizes) - sizes, tokens, np.where(known[at] == tokens, n[at], 0)
+
+
+def _count_shared(t: pa.Table) -> pa.Table:
+    fps, first, _, df = _measured(t)
+    return pa.table({"fp": pa.array(fps), "shared": pa.array(np.add.reduceat((df > 0).astype(np.int64), first) if len(first) else first, pa.int64())})
 
 
 def _ordered_sets(t: pa.Table) -> pa.Table:
     """fp, its shared tokens from rare to frequent, how many are rare."""
-    tokens, classes, df = _column(t, "c0", U64), _column(t, "c1", np.int64), _column(t, "c2", np.int64)
-    order = np.lexsort((tokens, df, classes))
-    tokens, classes, df = tokens[order], classes[order], df[order]
-    at = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]])) if len(classes) else np.zeros(0, int)
-    rare = np.add.reduceat((df < FREQUENT).astype(np.int64), at) if len(at) else at
+    fps, first, tokens, df = _measured(t)
+    of = np.repeat(np.arange(len(fps)), np.diff(np.append(first, len(tokens))))
+    some = df > 0
+    of, tokens, df = of[some], tokens[some], df[some]
+    order = np.lexsort((tokens, df, of))
+    tokens, df = tokens[order], df[order]
+    ends = np.searchsorted(of, np.arange(len(fps) + 1))
     return pa.table(
         {
-            "fp": pa.array(classes[at], pa.int64()),
-            "rare": pa.array(rare, pa.int64()),
-            "tokens": pa.ListArray.from_arrays(pa.array(np.append(at, len(tokens)), pa.int32()), pa.array(tokens.view(np.int64))),
+            "fp": pa.array(fps),
+            "rare": pa.array(np.bincount(of, df < FREQUENT, len(fps)).astype(np.int64)),
+            "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens.view(np.int64))),
         }
     )
 
 
+def _by_lot(postings: DataFrame, buckets: int, function, schema: str) -> DataFrame:
+    """Apply ``function`` to each lot with the counts of its shared tokens.
+
+    Counts are made by bucket from one entry for each lot and token, and go back to the lots;
+    a lot is bounded, and so is what a token brings to a bucket, however many classes hold it.
+    """
+    dealt = postings.select("lot", "tokens").mapInArrow(_dealt(buckets), "bucket long, lot long, tokens binary, counts binary")
+    shared = dealt.groupBy("bucket").applyInArrow(_shared_tokens, "lot long, tokens binary, df binary")
+    none = F.lit(None).cast("binary")
+    rows = postings.select("lot", "fps", "sizes", "tokens", none.alias("df")).union(shared.select("lot", none, none, "tokens", "df"))
+    return rows.groupBy("lot").applyInArrow(function, schema)
+
+
 def _may_hold(bits: np.ndarray, fp: int) -> bool:
     p = (fp & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
     return bool(int(bits[p >> 6]) >> (p & 63) & 1)
@@ -405,20 +449,21 @@ def join(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(-(-total * FIRST_LOOK // 100 // BUCKET_ENTRIES)) + 8
 
-    looked = _entries(docs, buckets, whole=False).groupBy("bucket").applyInArrow(_count_shared, "fp long, shared long")
+    postings = materialize(_postings(docs, whole=False), "looks")
     n, t = F.col("n"), F.ceil(F.col("n") * PERCENT / 100)
     look = F.least(n, F.greatest(n - t + 1, F.ceil(n * FIRST_LOOK / 100)))
-    partial = looked.groupBy("fp").agg(F.sum("shared").alias("shared"))
-    hopeful = materialize(partial.join(classes, "fp").where(look - F.col("shared") <= n - t).select("fp", "n"), "hopeful")
+    looked = _by_lot(postings, buckets, _count_shared, "fp long, shared long").groupBy("fp").agg(F.max("shared").alias("shared"))
+    hopeful = materialize(looked.join(classes, "fp").where(look - F.col("shared") <= n - t).select("fp", "n"), "hopeful")
+    release(postings)
     keep = spark.sparkContext.broadcast(class_filter(hopeful))
 
     total = hopeful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(total // BUCKET_ENTRIES) + 8
-    schema = "bucket long, c0 binary, c1 binary, c2 binary"
-    counted = _entries(docs, buckets, whole=True, keep=keep).groupBy("bucket").applyInArrow(_token_counts(buckets), schema)
-    sets = counted.groupBy("bucket").applyInArrow(_ordered_sets, "fp long, rare long, tokens array<long>")
-    sets = sets.join(hopeful, "fp").where(F.size("tokens") >= t).select("fp", "n", "rare", "tokens")
+    postings = materialize(_postings(docs, whole=True, keep=keep), "postings")
+    sets = _by_lot(postings, buckets, _ordered_sets, "fp long, rare long, tokens array<long>")
+    sets = sets.join(hopeful, "fp").where(F.size("tokens") >= t).select("fp", "n", "rare", "tokens").dropDuplicates(["fp"])
     sets = materialize(sets, "tokens")
+    release(postings)
 
     roots = _link_classes(sets)
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
