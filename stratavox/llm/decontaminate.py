@@ -20,7 +20,7 @@ from stratavox.llm.store import table
 from stratavox.llm.words import LETTERED, U64, Words, ngram_hashes, slices
 
 WINDOW = 10
-#: Bytes of benchmark text that may be broadcast; a larger benchmark is scanned in parts of this size.
+#: Bytes of benchmark text that may be broadcast.
 MAX_BROADCAST = 64 << 20
 _SLOTS = 1 << 20
 
@@ -90,19 +90,12 @@ def _scan(raw: np.ndarray, off: np.ndarray, known: WindowSet) -> tuple[Words, np
     return w, hit, found
 
 
-def known_windows(benchmark: DataFrame, window: int = WINDOW, most: int = MAX_BROADCAST) -> list[WindowSet]:
-    """The benchmark's windows in parts of at most ``most`` bytes of item text each (one item may exceed it)."""
-    rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    parts: list[WindowSet] = []
-    now: list[tuple[object, str]] = []
-    size = 0
-    for r in rows.toLocalIterator():
-        if now and size + len(r[1]) > most:
-            parts.append(window_set(now, window))
-            now, size = [], 0
-        now.append((r[0], r[1]))
-        size += len(r[1])
-    return [*parts, window_set(now, window)] if now else parts
+def known_windows(benchmark: DataFrame, window: int = WINDOW, most: int = MAX_BROADCAST) -> WindowSet:
+    """The benchmark's windows, for every worker. A benchmark of more text than ``most`` bytes is refused."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > most:
+        raise ValueError(f"the benchmark has {size} bytes of text; at most {most} are sent to every worker: split it, and join the reports")
+    return window_set([(r[0], r[1]) for r in benchmark.select("item_id", "text").collect()], window)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -112,25 +105,16 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     reported each.
     """
     spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(s) for s in known_windows(benchmark, window)]
+    known = spark.sparkContext.broadcast(known_windows(benchmark, window))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             words, hits, items = [], [], [[] for _ in range(len(texts))]
-            for i, j, raw, off in slices(texts):
-                if not sets:
-                    w = Words(raw, off, LETTERED, hashed=False)
-                    hit = np.zeros(len(w), dtype=bool)
-                else:
-                    hit, by_doc = False, {}
-                    for s in sets:
-                        w, some, found = _scan(raw, off, s.value)
-                        hit = hit | some
-                        for d, names in found.items():
-                            by_doc.setdefault(d, set()).update(names)
-                    for d, names in by_doc.items():
-                        items[i + d] = sorted(names)
+            for i, _, raw, off in slices(texts):
+                w, hit, found = _scan(raw, off, known.value)
+                for d, names in found.items():
+                    items[i + d] = sorted(names)
                 words.append(w.counts())
                 total = np.concatenate([[0], np.cumsum(hit)])
                 hits.append(total[w.first[1:]] - total[w.first[:-1]])
@@ -153,7 +137,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     )
 
 
-def remove_spans(text: str | None, known: list[WindowSet]) -> tuple[str | None, int, int]:
+def remove_spans(text: str | None, known: WindowSet) -> tuple[str | None, int, int]:
     """``text`` without the spans of hit words, its words, and words removed.
 
     A span runs from the first to the last byte of consecutive hit words, so separators
@@ -165,12 +149,9 @@ def remove_spans(text: str | None, known: list[WindowSet]) -> tuple[str | None,
     for turn in itertools.count():
         raw = np.frombuffer(blob, dtype=np.uint8)
         off = np.array([0, len(raw)])
-        hit: np.ndarray | bool = False
-        for s in known:
-            w, some, _ = _scan(raw, off, s)
-            hit = hit | some
-            words = words if turn else len(w)
-        if not np.any(hit):
+        w, hit, _ = _scan(raw, off, known)
+        words = words if turn else len(w)
+        if not hit.any():
             return text if not removed else blob.decode(), words, removed
         removed += int(hit.sum())
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
@@ -187,7 +168,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_from
     All columns stay; ``n_chars``, if there, follows the text.
     """
     spark = docs.sparkSession
-    sets = [spark.sparkContext.broadcast(s) for s in known_windows(benchmark, window)]
+    known = spark.sparkContext.broadcast(known_windows(benchmark, window))
     where = docs.columns.index("text")
 
     def scrub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +176,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, drop_from
             texts = batch.column(where)
             hit = np.zeros(len(texts), dtype=bool)
             for i, _, raw, off in slices(texts):
-                for s in sets:
-                    w, some, _found = _scan(raw, off, s.value)
-                    d = np.searchsorted(w.first, np.flatnonzero(some), side="right") - 1
-                    hit[i + d] = True
+                w, some, _found = _scan(raw, off, known.value)
+                hit[i + np.searchsorted(w.first, np.flatnonzero(some), side="right") - 1] = True
             new, keep = texts.to_pylist() if hit.any() else None, np.ones(len(texts), dtype=bool)
             for i in np.flatnonzero(hit):
-                new[i], n, k = remove_spans(new[i], [s.value for s in sets])
+                new[i], n, k = remove_spans(new[i], known.value)
                 keep[i] = k < drop_from * n
             if new is not None:
                 columns = batch.columns

@@ -24,6 +24,8 @@ from stratavox.llm.words import U64, slices
 #: Documents of each language that the text model may be trained on, and bytes of each.
 MAX_TRAIN, MAX_TRAIN_BYTES = 2_000, 16 << 10
 _BITS = 16
+#: Languages that a model may have.
+MAX_LANGUAGES = 256
 #: Trust in a declaration and in an address: the rate at which each is right.
 DECLARED_RIGHT, ADDRESS_RIGHT = 0.9, 0.8
 #: Pages that the prior of a level above weighs.
@@ -68,7 +70,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     over all by a hash; they are added up on the executors.
     """
     sized = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-    totals = {r["lang"]: r["n"] for r in sized.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(256).collect()}
+    totals = {r["lang"]: r["n"] for r in sized.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"documents state more than {MAX_LANGUAGES} languages")
     languages = sorted(totals)
     if not languages:
         return [], np.zeros((0, 1 << _BITS))
@@ -164,10 +168,11 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     by_host = materialize(scored.groupBy("parent", "host").agg(*counts), "hosts")
     sums = lambda p: [F.sum(f"n{i}").alias(f"{p}{i}") for i in range(k)]
     by_parent = by_host.groupBy("parent").agg(*sums("p"))
-    overall = by_host.agg(*sums("a"))
+    overall = by_host.agg(*sums("a")).first()
+    counts_of_all = [float(c or 0) for c in overall]
     total = lambda p: sum((F.col(f"{p}{i}") for i in range(1, k)), F.col(f"{p}0"))
-    priors = by_host.join(by_parent, "parent").join(F.broadcast(overall), F.lit(True))
-    top = [(F.col(f"a{i}") + 1) / (total("a") + k) for i in range(k)]
+    priors = by_host.join(by_parent, "parent")
+    top = [(c + 1) / (sum(counts_of_all) + k) for c in counts_of_all]
     middle = [(F.col(f"p{i}") + SMOOTHING * top[i]) / (total("p") + SMOOTHING) for i in range(k)]
     low = [(F.col(f"n{i}") + SMOOTHING * middle[i]) / (total("n") + SMOOTHING) for i in range(k)]
     priors = priors.select("host", F.array(*[F.log(p) for p in low]).alias("prior"))

@@ -92,7 +92,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     take no room and are in no bin: size 0, bin_id and room null. Documents of equal text
     after lower-casing A-Z form a duplicate cluster and never share a bin; a null source is
     a source like any other. Rows that repeat a doc_id are packed each, as copies. ``bin_id``
-    is the group's number times 2**32 plus the bin within it.
+    is text: the group and the bin within it, or the row and the piece for a full piece.
     """
     # In Java \s is [ \t\n\x0B\f\r].
     bare = F.trim("text", F.lit(" \t\n\x0b\f\r"))
@@ -116,12 +116,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     schema = "doc_id long, piece int, first_word long, size long, group long, bin long, room long"
     rest = rest.select(F.col("doc_id").cast("long"), "piece", "first_word", "size", "source", "cluster", "row", "group")
     packed = rest.groupBy("group").applyInArrow(_pack_group(capacity, per_source), schema).select(
-        "doc_id", "piece", "first_word", "size", (F.shiftleft("group", 32) + F.col("bin")).alias("bin_id"), "room"
+        "doc_id", "piece", "first_word", "size", F.concat_ws("-", F.lit("group"), "group", "bin").alias("bin_id"), "room"
     )
-    own = F.lit(-1).cast("long") - (F.col("row") * 65536 + F.pmod("piece", F.lit(65536)))
+    own = F.concat_ws("-", F.lit("row"), "row", "piece")
     full = pieces.where(whole).select(F.col("doc_id").cast("long"), "piece", "first_word", "size", own.alias("bin_id"), F.lit(0).cast("long").alias("room"))
-    none = F.lit(None).cast("long")
-    empty = sized.where("words = 0").select(F.col("doc_id").cast("long"), F.lit(0).alias("piece"), F.lit(0).cast("long"), F.lit(0).cast("long"), none, none)
+    none = F.lit(None)
+    empty = sized.where("words = 0").select(
+        F.col("doc_id").cast("long"), F.lit(0).alias("piece"), F.lit(0).cast("long"), F.lit(0).cast("long"), none.cast("string"), none.cast("long")
+    )
     return packed.union(full).union(empty)
 
 

@@ -62,7 +62,7 @@ def test_odd_rows(spark, odd_docs, words):
 
 
 def test_spans_go_and_the_rest_stays():
-    known = [window_set([(1, "a b c d e f g h i j k")])]
+    known = window_set([(1, "a b c d e f g h i j k")])
     assert remove_spans("Start, A b c d e f g h i j K end.", known) == ("Start,  end.", 13, 11)
     assert remove_spans("a b c d e f g h i", known) == ("a b c d e f g h i", 9, 0)
     # What a removal brings together is scanned again.
@@ -75,3 +75,12 @@ def test_clean_drops_what_is_mostly_benchmark(spark):
     docs = spark.createDataFrame([(1, f"{item} rest", 5), (2, f"{item} " + "own words " * 10, 5), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     out = {r.doc_id: r for r in clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert sorted(out) == [2, 3] and out[2].text.strip() == ("own words " * 10).strip() and out[2].n_chars == len(out[2].text)
+
+
+def test_a_benchmark_too_large_to_send_is_refused(spark):
+    import pytest
+
+    from stratavox.llm.decontaminate import known_windows
+
+    with pytest.raises(ValueError):
+        known_windows(spark.createDataFrame([(1, "some text")], "item_id long, text string"), most=5)
