@@ -26,6 +26,7 @@ class BakeOptions:
     """Options of a bake; the centre is in blocks, the radius in chunks."""
 
     map: str
+    # Fixed by the format: the file that readers look for.
     output: str = "DistantHorizons.sqlite"
     cx: int = 0
     cz: int = 0
