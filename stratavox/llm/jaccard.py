@@ -42,7 +42,7 @@ FREQUENT = 9
 #: Entries of a bucket in the token counts, about; there are as many buckets as that takes.
 BUCKET_ENTRIES = 1 << 18
 #: Tokens of a lot of classes.
-FLUSH_ENTRIES = 1 << 20
+FLUSH_ENTRIES = 1 << 18
 #: Bits of the filter of remaining classes: a fixed size whatever the input. Its false hits cost time only.
 FILTER_BITS = 25
 #: Rounds with pivots at most, and pairs across components per index entry at which they end.

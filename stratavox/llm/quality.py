@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stratavox.llm.labelled import fold, label_sample, sigmoid
 from stratavox.llm.store import table
-from stratavox.llm.words import SPACED, U64, Words, ngram_hashes, slices
+from stratavox.llm.words import SPACED, Words, ngram_hashes, slices
 
 PARTS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
