@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
@@ -474,20 +475,35 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
+def _may_be_in(ids: DataFrame):
+    """A test of doc_id, by the filter of fixed size: true for all of ``ids``, and for few others."""
+    keep = ids.sparkSession.sparkContext.broadcast(class_filter(ids.select(F.xxhash64("doc_id").alias("fp"))))
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        p = h.to_numpy().view(U64) >> U64(64 - FILTER_BITS)
+        return pd.Series((keep.value[(p >> U64(6)).astype(np.int64)] >> (p & U64(63)) & U64(1)).astype(bool))
+
+    return test(F.xxhash64("doc_id"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of every component: the one with the smallest doc_id.
 
     Rows that repeat its doc_id are copies of it, of which one row stays. Rows without a
-    doc_id stay all. Only ids are joined with the documents' rows.
+    doc_id stay all. Only rows whose id may be that of a copy, by a filter of fixed size, are
+    joined with the exact ids; the others stay where they are, so most texts are not moved.
     """
     found = materialize(join(docs).select("doc_id", "component_id"), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     repeated = materialize(repeated, "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    maybe = F.col("doc_id").isNotNull() & _may_be_in(gone.union(repeated))
+    rest = docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not repeated.isEmpty():
-        kept = kept.join(repeated, "doc_id", "left_anti").union(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+        single = rest.join(repeated, "doc_id", "left_anti")
+        rest = single.select(*docs.columns).union(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return docs.where(~maybe).union(rest)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
