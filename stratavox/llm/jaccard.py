@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
@@ -360,7 +359,7 @@ def _overlaps(t: pa.Table, rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     ends = np.cumsum(hits)
     at = 0
     while at < len(lk):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 22), "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), "right")))
         n = hits[at:to]
         nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         np.add.at(out, np.repeat(li[at:to], n) * len(others) + ri[np.repeat(first[at:to], n) + nth], 1)
@@ -479,10 +478,10 @@ def _may_be_in(ids: DataFrame):
     """A test of doc_id, by the filter of fixed size: true for all of ``ids``, and for few others."""
     keep = ids.sparkSession.sparkContext.broadcast(class_filter(ids.select(F.xxhash64("doc_id").alias("fp"))))
 
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def test(h: pa.Array) -> pa.Array:
         p = h.to_numpy().view(U64) >> U64(64 - FILTER_BITS)
-        return pd.Series((keep.value[(p >> U64(6)).astype(np.int64)] >> (p & U64(63)) & U64(1)).astype(bool))
+        return pa.array((keep.value[(p >> U64(6)).astype(np.int64)] >> (p & U64(63)) & U64(1)).astype(bool))
 
     return test(F.xxhash64("doc_id"))
 
