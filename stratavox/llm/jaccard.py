@@ -2,8 +2,9 @@
 
 Documents with equal sets are one class. Classes are cut down before any pair is formed:
 
-1. In hash order, a class shares a known number of its first tokens with every partner; a
-   class too many of whose first tokens occur in no other class has no partner.
+1. In hash order, the first tokens of a class and those of any partner, larger or smaller,
+   have a known number in common; a class with fewer first tokens that are also among
+   another's has no partner.
 2. Among the rest, all tokens are counted. A class needs at least 80 % tokens that others have.
 3. Tokens are ordered from rare to frequent. Two linked classes share more than m tokens
    within prefixes that are m tokens longer than a plain prefix. Rare tokens are indexed
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.llm.components import components
@@ -60,6 +61,21 @@ def first_look(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, np.maximum(n - least_shared(n) + 1, -(-n * FIRST_LOOK // 100)))
 
 
+def least_met(n: Column, look: Column) -> Column:
+    """Tokens that the first look of a set of ``n`` has in common with that of any linked set, at least.
+
+    With c common tokens, all others of both sets may come first: then look(n) - (n - c) of
+    the common ones are in the one look and look(m) - (m - c) in the other's, and the smaller
+    number is in both. The first is least for the least c. The second is, with look(m) at
+    FIRST_LOOK percent of m or more and c * (100 + PERCENT) >= PERCENT * (n + m), no less than
+    a line in m, which is least at an end of the sizes that may be linked.
+    """
+    own = look - (n - F.ceil(n * PERCENT / 100))
+    larger = F.ceil(n * (PERCENT + FIRST_LOOK - 100) / PERCENT)
+    smaller = F.ceil(n * PERCENT * FIRST_LOOK / 10_000)
+    return F.least(own, larger, smaller)
+
+
 def shingle_sets(raw: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each document its distinct shingle hashes, ascending."""
     w = Words(raw, off, SPACED)
@@ -453,7 +469,7 @@ def join(docs: DataFrame) -> DataFrame:
     n, t = F.col("n"), F.ceil(F.col("n") * PERCENT / 100)
     look = F.least(n, F.greatest(n - t + 1, F.ceil(n * FIRST_LOOK / 100)))
     looked = _by_lot(postings, buckets, _count_shared, "fp long, shared long").groupBy("fp").agg(F.max("shared").alias("shared"))
-    hopeful = materialize(looked.join(classes, "fp").where(look - F.col("shared") <= n - t).select("fp", "n"), "hopeful")
+    hopeful = materialize(looked.join(classes, "fp").where(F.col("shared") >= least_met(n, look)).select("fp", "n"), "hopeful")
     release(postings)
     keep = spark.sparkContext.broadcast(class_filter(hopeful))
 

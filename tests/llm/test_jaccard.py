@@ -129,3 +129,43 @@ def test_keep_one(spark, odd_docs):
     assert sorted(i for i in ids if i is not None) == sorted(want)
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert [r.doc_id for r in jaccard.keep_one(twice).collect()] == [1]
+
+
+def threshold_pairs(top, repeats, seed):
+    """Two texts for every two sizes up to ``top`` that just reach 80 %, no others alike."""
+    rng, rows = random.Random(seed), []
+    word = lambda: f"w{rng.getrandbits(60):x}"
+    for n in range(4, top + 1):
+        for m in range(n, n * 5 // 4 + 1):
+            both = -(-4 * (n + m) // 9)
+            if both > n or both == n == m:
+                continue
+            for _ in range(repeats):
+                common = [word() for _ in range(both + 4)]
+                for size in (n, m):
+                    rows.append(" ".join(common + [word() for _ in range(size - both)]))
+    return list(enumerate(rows))
+
+
+def test_every_two_sizes_link_at_the_threshold(spark):
+    """The first look must not drop a set, whichever of its partner's tokens come first in hash order."""
+    rows = threshold_pairs(48, 6, 11)
+    got = check(jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+    assert all(c == i - i % 2 for i, _, c in got)
+
+
+def test_first_looks_meet_in_the_worst_order(spark):
+    """For all sizes and all that may be linked: tokens of one set only come first in both looks."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    top = 600
+    n = F.col("n")
+    look = {k: int(jaccard.first_look(np.int64(k))) for k in range(1, 2 * top)}
+    sizes = spark.createDataFrame([(k, look[k]) for k in range(1, top + 1)], "n long, look long")
+    least = {r.n: r.least for r in sizes.select("n", jaccard.least_met(n, F.col("look")).alias("least")).collect()}
+    for k in range(1, top + 1):
+        for m in range(-(-4 * k // 5), 5 * k // 4 + 1):
+            both = -(-4 * (k + m) // 9)
+            if both <= min(k, m):
+                assert least[k] <= min(look[k] - (k - both), look[m] - (m - both)), (k, m)
