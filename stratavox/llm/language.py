@@ -37,6 +37,9 @@ TEXT_LIMIT = 40.0
 
 _LANG_TAG = re.compile(rb"""<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2})""", re.I)
 _HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
+#: A tag, whose quoted values may hold brackets; without group 1 it does not end, and is text.
+#: It takes in what it has looked at, so no byte is looked at again from a later start.
+_TAG = re.compile(rb"""<[A-Za-z/!?](?:[^<>=]++|=\s*+(?:"[^"]{0,4096}+"|'[^']{0,4096}+')|=)*+(>)?""")
 
 _FOLDED = np.arange(256, dtype=np.uint8)
 _FOLDED[65:91] += 32
@@ -57,10 +60,8 @@ def _trigrams(raw: np.ndarray) -> np.ndarray:
 
 
 def visible(html: bytes) -> np.ndarray:
-    """Bytes of a page's text: without comments, scripts, styles and tags."""
-    raw = np.frombuffer(_HIDDEN.sub(b" ", html), dtype=np.uint8)
-    depth = np.cumsum((raw == 60).astype(np.int8) - np.concatenate([[0], (raw[:-1] == 62).astype(np.int8)]) if len(raw) else raw, dtype=np.int64)
-    return raw[depth <= 0]
+    """Bytes of a page's text: without comments, scripts, styles and tags. A bracket that is no tag's is text."""
+    return np.frombuffer(_TAG.sub(lambda m: b"" if m[1] else m[0], _HIDDEN.sub(b" ", html)), dtype=np.uint8)
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:

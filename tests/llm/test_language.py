@@ -1,4 +1,8 @@
+import re
+import time
+
 import numpy as np
+import pytest
 
 from stratavox.llm.language import identify, op9_language, visible
 from tests.conftest import SF2
@@ -17,6 +21,39 @@ def test_visible_text():
     assert bytes(visible(html)).split() == [b"One", b"two"]
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<p>5 < 6 and <3 <b>then</b> on</p>", "5 < 6 and <3 then on"), ("<i>a -> b</i> c > d <b>e</b>", "a -> b c > d e"), ("<a title='1 > 0' rel=\"<x>\">in</a> out", "in out"),
+        ("<p title=don't>it's <b>so</b></p>", "it's so"), ("<p one <b>two</b> three", "<p one two three"), ("a <!-- b <i>c</i> d", "a <!-- b c d"),
+        ("<a href=\"x>one <b>two</b> three", "one two three"), ("<?xml v?><!DOCTYPE html>x<br/>y</p >z", "xyz"), ("<", "<"), ("", ""), ("a<b", "a<b"),
+    ],
+)
+def test_stray_brackets_hide_no_text(html, text):
+    assert bytes(visible(html.encode())).decode() == text
+
+
+def test_balanced_pages_show_what_depth_shows(spark):
+    """On pages without a stray bracket the text is what lies outside of all brackets."""
+    for r in spark.read.parquet(f"{SF2}/pages.parquet").select("html").collect():
+        html = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", r.html or "")
+        assert bytes(visible((r.html or "").encode())).decode() == re.sub("<[^<>]*>", "", html)
+
+
+def test_unclosed_tags_take_time_in_proportion():
+    began = time.monotonic()
+    for piece in (b"<a ", b"<a =\"", b"<a x=\"<a ' ", b"<a='<"):
+        visible(piece * 200_000)
+    assert time.monotonic() - began < 20
+
+
+def test_text_behind_a_stray_bracket_decides(spark):
+    b = "xwrq zzpt qqvk " * 30
+    df = spark.createDataFrame([(1, "http://h.test/", page("aa", f"5 < 6 {b}"))], "page_id long, url string, html string")
+    r = identify(df, docs(spark)).collect()[0]
+    assert (r.declared, r.text_lang, r.lang) == ("aa", "bb", "bb")
+
+
 def docs(spark):
     words = {"aa": "kalo mira suno tevi", "bb": "xwrq zzpt qqvk jjxw"}
     return spark.createDataFrame([(i, " ".join([words[c]] * 20), c) for i in range(20) for c in words] + [(50, None, "aa"), (51, "kalo", None)], "doc_id long, text string, lang string")
