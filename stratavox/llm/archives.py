@@ -54,10 +54,14 @@ def arc_version_block(version: int, name: str = "pages.arc") -> bytes:
     return " ".join([*fields, str(len(body))]).encode() + b"\n" + body + b"\n"
 
 
+def header_url(url: str | None) -> str:
+    """A url as header lines hold it: spaces and controls percent-encoded, "-" for none."""
+    return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "") or "-"
+
+
 def arc_record(version: int, url: str, content: bytes, offset: int = 0, date: str = NO_DATE) -> bytes:
     """One record; spaces and controls in the url are percent-encoded."""
-    safe = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url) or "-"
-    fields = [safe, "0.0.0.0", date, "text/html"]
+    fields = [header_url(url), "0.0.0.0", date, "text/html"]
     if version == 2:
         fields += ["200", hashlib.md5(content).hexdigest(), "-", str(offset), "pages.arc"]
     return " ".join([*fields, str(len(content))]).encode() + b"\n" + content + b"\n"
@@ -120,11 +124,12 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: int | None = None, revisit: bool = False) -> bytes:
+def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: tuple[int, str] | None = None) -> bytes:
     """A WARC/1.1 record without its closing line breaks.
 
     A version block becomes warcinfo, content with an HTTP status line response or revisit,
-    anything else resource. A revisit keeps the HTTP header, not the payload.
+    anything else resource. With ``refers_to``, the page id and header url of the response
+    that has the payload, a response is a revisit: it keeps the HTTP header, not the payload.
     """
     url = record.fields.get("URL", "-")
     content = record.content
@@ -135,9 +140,9 @@ def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: int | None
         head, _, payload = content.partition(b"\r\n\r\n")
         kind, media, block = "response", "application/http; msgtype=response", content
         headers.append(f"WARC-Payload-Digest: sha256:{hashlib.sha256(payload).hexdigest()}")
-        if revisit:
+        if refers_to is not None:
             kind, block = "revisit", head + b"\r\n\r\n"
-            headers += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, '')}"]
+            headers += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(*refers_to)}", f"WARC-Refers-To-Target-URI: {refers_to[1]}"]
     else:
         kind, media, block = "resource", record.fields.get("Content-type", "application/octet-stream"), content
         headers.append(f"WARC-Payload-Digest: sha256:{hashlib.sha256(content).hexdigest()}")
@@ -188,20 +193,24 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages(page_id, url, html)`` as gzipped WARC files under ``path``, through ARC records.
 
     Of rows with equal payloads of REVISIT_FROM bytes or more, those with the smallest
-    page_id are responses, others revisits of it. A null page_id is never referred to and
-    never revisits. Batches alternate between the two ARC versions.
+    page_id are responses, others revisits of the one with the least url. A null page_id is
+    never referred to and never revisits. Batches alternate between the two ARC versions.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload.cast("binary"), 256).alias("digest"))
     long = F.octet_length("html") >= REVISIT_FROM
-    firsts = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(firsts, "digest", "left").select("page_id", "url", "html", F.when(long & (F.col("first") < F.col("page_id")), F.col("first")).alias("first"))
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    firsts = rows.where(long).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = long & (F.col("first.page_id") < F.col("page_id"))
+    rows = rows.join(firsts, "digest", "left").select(
+        "page_id", "url", "html", F.when(again, F.col("first.page_id")).alias("first"), F.when(again, F.col("first.url")).alias("first_url")
+    )
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = False
         for number, batch in enumerate(batches):
             version = 1 + number % 2
-            ids, urls, texts, firsts = (batch.column(k) for k in range(4))
+            ids, urls, texts, firsts, first_urls = (batch.column(k) for k in range(5))
             for at in range(0, len(batch), 256):
                 block = arc_version_block(version)
                 parts, size = [block], len(block)
@@ -216,7 +225,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 opened = True
                 for i, record in zip(span, records, strict=True):
                     first = firsts[i].as_py()
-                    out.append(to_warc(record, ids[i].as_py(), first, first is not None))
+                    out.append(to_warc(record, ids[i].as_py(), None if first is None else (first, header_url(first_urls[i].as_py()))))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
 
     with tidy_shuffles(pages.sparkSession):

@@ -98,3 +98,22 @@ def test_damage_is_noticed():
 @given(st.one_of(st.none(), st.integers(-(2**63), 2**63 - 1)), st.text(max_size=10))
 def test_identifiers_carry_the_page(page_id, url):
     assert a.page_of(a.record_id(page_id, url)) == page_id
+
+
+def test_every_revisit_names_a_response_of_its_payload(spark):
+    """WARC-Refers-To is the WARC-Record-ID of a response in the archive, whatever the urls."""
+    same, other = "é<p>" * 50, "y" * 100
+    rows = [
+        (5, "http://h/a b", same), (3, "http://h/ü\n", same), (9, None, same), (3, "http://h/again", same), (None, "http://h/0", same), (7, None, other), (8, "http://h/8", other),
+        (12, "http://h/12", other), (20, "", "z" * 200), (21, "http://h/21", "z" * 200),
+    ]
+    path = fresh_path(spark, "warc")
+    a.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()
+    records = [headers for f in files for headers, _ in a.read_warc(bytes(f.content))]
+    responses = {h["WARC-Record-ID"]: h for h in records if h["WARC-Type"] == "response"}
+    revisits = [h for h in records if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 5
+    for h in revisits:
+        first = responses[h["WARC-Refers-To"]]
+        assert first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"]
