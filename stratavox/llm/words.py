@@ -3,6 +3,9 @@
 A batch is cut into slices of whole documents. All words of a slice are found and
 hashed with a few numpy passes over its bytes, so no Python object is made per word.
 Bytes 0x80..0xFF belong to words in every alphabet used here, hence no decoding.
+
+A slice of one long document is gone through in pieces of a fixed size, and a word that
+crosses pieces is carried over, so besides the text memory is taken per word: 16 bytes.
 """
 
 from __future__ import annotations
@@ -48,16 +51,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_pow = _powers(_BASE, SLICE_BYTES)
-_inv = _powers(_INVERSE, SLICE_BYTES)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse for slices of ``n`` bytes; one long document may need more."""
-    global _pow, _inv
-    if n > len(_pow):
-        _pow, _inv = _powers(_BASE, 2 * n), _powers(_INVERSE, 2 * n)
-    return _pow, _inv
+_pow = _powers(_BASE, SLICE_BYTES + 1)
+_inv = _powers(_INVERSE, SLICE_BYTES + 1)
 
 
 def alphabet(pattern_bytes: bytes) -> np.ndarray:
@@ -96,32 +91,71 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         i = j
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return parts[1] if len(parts) == 2 else np.concatenate(parts)
+
+
+def _edges(raw: np.ndarray, a: int, b: int, edges: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of words, and bytes after their last, that lie in bytes a to b, relative to a; documents end at ``edges``."""
+    low, high = max(a - 1, 0), min(b + 1, len(raw))
+    is_word = member[raw[low:high]]
+    inside = slice(a - low, a - low + (b - a))
+    begins, ends = is_word[inside].copy(), is_word[inside].copy()
+    breaks = edges[np.searchsorted(edges, a) : np.searchsorted(edges, b, side="right")]
+    before = np.concatenate([[False], is_word])[inside] if low == a else is_word[: b - a].copy()
+    after = np.concatenate([is_word[inside][1:], is_word[a - low + (b - a) :] if high > b else [False]])
+    before[breaks[breaks < b] - a] = False
+    after[breaks[breaks > a] - a - 1] = False
+    begins &= ~before
+    ends &= ~after
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def _hash_piece(piece: np.ndarray, at: int, start: np.ndarray, end: np.ndarray, begun: int, partial: int) -> tuple[np.ndarray, int, int]:
+    """Hashes of the words that end in a piece, and of the word that runs on its first byte and its sum so far."""
+    run = np.zeros(len(piece) + 1, dtype=U64)
+    np.cumsum(BYTE_VALUES[piece] * _pow[: len(piece)], out=run[1:])
+    carried = begun >= 0
+    if carried:
+        shift = pow(_BASE, at - begun, 1 << 64)
+        upto = int(end[0]) if len(end) else len(piece)
+        partial = (partial + int(run[upto]) * shift) % (1 << 64)
+        if not len(end):
+            return np.zeros(0, U64), begun, partial
+    own = end[1:] if carried else end
+    sums = (run[own] - run[start[: len(own)]]) * _inv[start[: len(own)]]
+    if carried:
+        sums = np.concatenate([np.array([partial], dtype=U64), sums])
+    begun = -1
+    if len(start) > len(own):
+        last = int(start[-1])
+        begun = at + last
+        partial = int(((run[-1:] - run[last : last + 1]) * _inv[last])[0])
+    return _splitmix(sums), begun, partial
+
+
 class Words:
     """Words of one slice: start and end bytes, 64-bit hashes, and the first word of every document."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, member: np.ndarray, hashed: bool = True):
-        is_word = member[raw]
         n = len(raw)
-        begins = np.empty(n, dtype=bool)
-        ends = np.empty(n, dtype=bool)
-        if n:
-            begins[0] = ends[-1] = True
-            np.logical_not(is_word[:-1], out=begins[1:])
-            np.logical_not(is_word[1:], out=ends[:-1])
-            edges = offsets[(offsets > 0) & (offsets < n)]
-            begins[edges] = True
-            ends[edges - 1] = True
-            begins &= is_word
-            ends &= is_word
-        self.start = np.flatnonzero(begins)
-        self.end = np.flatnonzero(ends) + 1
+        kind = np.int32 if n < 1 << 31 else np.int64
+        starts, ends, hashes = [np.zeros(0, kind)], [np.zeros(0, kind)], [np.zeros(0, U64)]
+        edges = offsets[(offsets > 0) & (offsets < n)]
+        begun, partial = -1, 0
+        for a in range(0, n, SLICE_BYTES):
+            b = min(a + SLICE_BYTES, n)
+            start, end = _edges(raw, a, b, edges, member)
+            starts.append((start + a).astype(kind))
+            ends.append((end + a).astype(kind))
+            if hashed:
+                done, begun, partial = _hash_piece(raw[a:b], a, start, end, begun, partial)
+                hashes.append(done)
+        self.start, self.end = _joined(starts), _joined(ends)
         #: first[i] is the index of the first word of document i; first[-1] is the number of words.
-        self.first = np.searchsorted(self.start, offsets)
+        self.first = np.searchsorted(self.start, offsets.astype(kind))
         if hashed:
-            powers, inverse = _tables(n + 1)
-            run = np.zeros(n + 1, dtype=U64)
-            np.cumsum(BYTE_VALUES[raw] * powers[:n], out=run[1:])
-            self.hash = _splitmix((run[self.end] - run[self.start]) * inverse[self.start])
+            self.hash = _joined(hashes)
 
     def __len__(self) -> int:
         return len(self.start)
@@ -139,6 +173,9 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, dtype=U64)
     m = len(words) - n + 1
     out = np.zeros(m, dtype=U64)
-    for j in range(n):
-        out += words[j : j + m] * _FACTORS[j]
-    return _splitmix(out)
+    for a in range(0, m, SLICE_BYTES):
+        part = out[a : a + SLICE_BYTES]
+        for j in range(n):
+            part += words[a + j : a + j + len(part)] * _FACTORS[j]
+        _splitmix(part)
+    return out

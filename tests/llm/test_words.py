@@ -49,3 +49,18 @@ def test_a_long_document_is_one_slice():
     t = "word " * 400_000
     (one,) = w.slices(pa.array([t]))
     assert len(w.Words(*one[2:], w.SPACED)) == 400_000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TEXT, max_size=6), st.integers(1, 9))
+def test_pieces_of_any_size_give_the_same_words(texts, piece):
+    ((_, _, raw, off),) = w.slices(pa.array([*texts, "end"], pa.string()))
+    before, whole = w.SLICE_BYTES, w.Words(raw, off, w.SPACED)
+    grams = w.ngram_hashes(whole.hash, 3)
+    try:
+        w.SLICE_BYTES = piece
+        cut = w.Words(raw, off, w.SPACED)
+        assert all((getattr(cut, f) == getattr(whole, f)).all() for f in ("start", "end", "first", "hash"))
+        assert (w.ngram_hashes(cut.hash, 3) == grams).all()
+    finally:
+        w.SLICE_BYTES = before
