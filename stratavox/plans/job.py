@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -111,8 +111,10 @@ def run(spark: SparkSession, options: BakeOptions) -> dict[str, float]:
     if not regions:
         return {"regions": 0}
     at = time.time()
-    chunks = written(scan(files, options.box), "chunks")
-    found, bad = chunks.agg(F.count_if(F.col("error").isNull()), F.count("error")).first()
+    counters = Observation("decoding")
+    read = scan(files, options.box).observe(counters, F.count_if(F.col("error").isNull()).alias("found"), F.count("error").alias("bad"))
+    chunks = written(read, "chunks")
+    found, bad = counters.get["found"], counters.get["bad"]
     took = time.time() - at
     say(f"decoding: {found} chunks, {bad} skipped, {took:.2f} s, {found / max(took, 1e-9):.0f} chunks/s")
     at = time.time()
@@ -146,7 +148,8 @@ def parse(argv: list[str] | None = None) -> BakeOptions:
 
 def main(argv: list[str] | None = None) -> int:
     options = parse(argv)
-    spark = SparkSession.builder.appName("stratavox").master(f"local[{options.threads or '*'}]").config("spark.ui.enabled", options.verbose).getOrCreate()
+    spark = SparkSession.builder.appName("stratavox").master(f"local[{options.threads or '*'}]").config("spark.ui.enabled", options.verbose)
+    spark = spark.config("spark.ui.showConsoleProgress", not options.quiet).getOrCreate()
     spark.sparkContext.setLogLevel("INFO" if options.verbose else "ERROR")
     run(spark, options)
     return 0

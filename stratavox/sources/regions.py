@@ -9,10 +9,8 @@ its hash and its runs, never one row per block.
 from __future__ import annotations
 
 import gzip
-import io
 import re
 import struct
-import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratavox.functions.columns import CHUNK_BITS
@@ -27,6 +26,7 @@ from stratavox.functions.materials import material_of
 from stratavox.operators.relations import region_files
 from stratavox.operators.voxels import CEILING, FLOOR
 from stratavox.sources.nbt import Chunk, NbtError, Section, parse_chunk
+from stratavox.sources.tables import fresh_path
 
 SECTOR, HEADER = 4096, 8192
 RUN = "struct<cell:int,y_min:int,y_max:int,color:bigint,flags:int>"
@@ -115,10 +115,12 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[:n][::-1]
 
 
-def poly_hash(values: np.ndarray) -> int:
-    """h = 31 * h + x from 1, wrapped to signed 32 bits."""
-    n = len(values)
-    h = (int((values.astype(np.int64).astype(np.uint32) * powers(n)).sum(dtype=np.uint32)) + pow(31, n, 1 << 32)) & 0xFFFFFFFF
+def poly_hash(values: np.ndarray, piece: int = 1 << 20) -> int:
+    """h = 31 * h + x from 1, wrapped to signed 32 bits; long arrays go piece by piece."""
+    h = 1
+    for a in range(0, len(values), piece):
+        part = values[a : a + piece].astype(np.int64).astype(np.uint32)
+        h = (int((part * powers(len(part))).sum(dtype=np.uint32)) + h * pow(31, len(part), 1 << 32)) & 0xFFFFFFFF
     return h - (1 << 32) if h >> 31 else h
 
 
@@ -241,44 +243,67 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, run)], _NAMES)
 
 
-def _is_file(spark: SparkSession, path: str) -> bool:
+def _status(spark: SparkSession, path: str):
+    """A path's Hadoop form, its file system, and whether it is a file."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     if not fs.exists(p):
         raise FileNotFoundError(path)
-    return bool(fs.getFileStatus(p).isFile())
+    return p, fs, bool(fs.getFileStatus(p).isFile())
 
 
-def _zip_entries(box: Box):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
-                    for entry in z.infolist():
-                        name = entry.filename
-                        where = coords_of(name) if name.endswith(".mca") and "region/r." in name else None
-                        if where and box.has_region(*where):
-                            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([z.read(entry)], pa.binary())], ["path", "content"])
+def _unzipped(spark: SparkSession, path: str, box: Box) -> str:
+    """A folder in the shared one with the region files of a zip archive.
 
-    return run
+    The driver's JVM streams the archive once, entry by entry, so neither an archive nor an
+    entry is ever held whole; decoding is distributed as with any folder.
+    """
+    jvm = spark._jvm
+    source, fs, _ = _status(spark, path)
+    folder = fresh_path(spark, "zip")
+    fs_out = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs_out.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+    stream = jvm.java.util.zip.ZipInputStream(fs.open(source))
+    try:
+        entry = stream.getNextEntry()
+        while entry is not None:
+            name = entry.getName()
+            where = coords_of(name) if name.endswith(".mca") and "region/r." in name else None
+            if where and box.has_region(*where) and ".." not in name.split("/"):
+                out = fs_out.create(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name.lstrip('/')}"))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                finally:
+                    out.close()
+            entry = stream.getNextEntry()
+    finally:
+        stream.close()
+    return folder
+
+
+def _axis(low: int, high: int, most: int = 256) -> str:
+    """A glob of the numbers of a range as names may write them, with a sign or zeros in front; any if there are many."""
+    if high - low >= most:
+        return "*"
+    forms = [f"{sign}{zeros}{abs(v)}" for v in range(low, high + 1) for sign in (("-",) if v < 0 else ("", "+") if v else ("", "+", "-")) for zeros in ("", "0*")]
+    return "{" + ",".join(forms) + "}"
 
 
 def discover(spark: SparkSession, path: str, box: Box = Box()) -> DataFrame:  # noqa: B008
     """(path, content) of the region files that may hold chunks of the box.
 
-    A folder is searched at any depth for names ``r.<x>.<z>.mca``; names are listed first,
-    and only files within the box are read. A file is opened as a zip archive, of whose
-    entries those with ``region/r.`` in their name count.
+    A folder is searched at any depth for names ``r.<x>.<z>.mca``. The box becomes part of
+    the pattern that Spark lists files by, so no other file is opened and no list of names is
+    collected; names are then held against the box exactly. A file is opened as a zip
+    archive, of whose entries those with ``region/r.`` in their name count.
     """
-    binary = spark.read.format("binaryFile")
-    if _is_file(spark, path):
-        return binary.load(path).select("content").mapInArrow(_zip_entries(box), "path string, content binary")
-    listed = region_files(binary.option("recursiveFileLookup", True).option("pathGlobFilter", "*.mca").load(path).select("path"))
-    near = listed.where(F.col("rx").between(box.min_x >> 5, box.max_x >> 5) & F.col("rz").between(box.min_z >> 5, box.max_z >> 5))
-    names = sorted(r["path"] for r in near.select("path").collect())
-    if not names:
-        return spark.createDataFrame([], "path string, content binary")
-    return spark.read.format("binaryFile").load(names).select("path", "content")
+    if _status(spark, path)[2]:
+        path = _unzipped(spark, path, box)
+    x, z = _axis(box.min_x >> 5, box.max_x >> 5), _axis(box.min_z >> 5, box.max_z >> 5)
+    names = f"r.{x}.{z}*.mca" if "*" not in (x, z) else "r.*.mca"
+    files = region_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(path))
+    near = files.where(F.col("rx").between(box.min_x >> 5, box.max_x >> 5) & F.col("rz").between(box.min_z >> 5, box.max_z >> 5))
+    return near.select("path", "content")
 
 
 def scan(files: DataFrame, box: Box = Box()) -> DataFrame:  # noqa: B008
@@ -299,6 +324,16 @@ def scan(files: DataFrame, box: Box = Box()) -> DataFrame:  # noqa: B008
     return files.select("path", "content").mapInArrow(run, CHUNKS)
 
 
+def by_document(chunks: DataFrame) -> DataFrame:
+    """``chunks`` that were read, placed where their documents say and not where their files do.
+
+    Of several documents for one place the last one counts, by path and slot.
+    """
+    placed = chunks.where("error IS NULL").drop("chunk_x", "chunk_z").withColumnsRenamed({"doc_x": "chunk_x", "doc_z": "chunk_z"})
+    last = F.max(F.struct("path", "slot")).over(W.partitionBy("chunk_x", "chunk_z"))
+    return placed.withColumn("last", last).where("path = last.path AND slot = last.slot").drop("last")
+
+
 def runs_of(chunks: DataFrame) -> DataFrame:
     """Level-0 runs (gx, gz, run_ord, y_min, y_max, color, flags), placed by the file's coordinates."""
     each = chunks.where("error IS NULL").select("chunk_x", "chunk_z", F.posexplode("runs").alias("ord", "r"))

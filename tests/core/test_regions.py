@@ -3,6 +3,7 @@ import sqlite3
 import struct
 import zipfile
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -14,8 +15,9 @@ from stratavox.sources import writer as w
 from stratavox.sources.blobs import checksum, raw_blob, read_blob
 from stratavox.sources.datasource import register
 from stratavox.sources.nbt import NbtError, Section, parse_chunk
-from stratavox.sources.regions import Box, Chunk, RegionError, chunk_hash, decompress, discover, locations, payload, runs_of, scan, voxelise
+from stratavox.sources.regions import Box, Chunk, RegionError, by_document, chunk_hash, decompress, discover, locations, payload, poly_hash, runs_of, scan, voxelise
 from stratavox.sources.sqlite import SCRIPTS, upsert
+from stratavox.sources.tables import shared_dir
 
 RNG = np.random.default_rng(0)
 STONE, AIR = "minecraft:stone", "minecraft:air"
@@ -306,3 +308,43 @@ def test_bulk_levels_are_those_of_the_dataframe_pyramid(spark, world, levels, to
     columns = ["level", "pos_x", "pos_z", "min_y", "checksum", "raw_bytes"]
     want = sorted(tuple(r) for r in encode(nested_tiles(made.tiles, made.runs)).select(*columns).collect())
     assert sorted(tuple(r) for r in encoded_tiles(chunks, levels, top).select(*columns).collect()) == want
+
+
+def test_names_are_listed_by_the_box(spark, tmp_path):
+    names = ["r.0.0.mca", "r.-1.0.mca", "r.+1.01.mca", "r.-01.-1.extra.mca", "r.9.0.mca", "r.0.-9.mca", "r.00.1.mca"]
+    for n in names:
+        (tmp_path / n).write_bytes(n.encode())
+    found = lambda box: sorted(bytes(r.content).decode() for r in discover(spark, str(tmp_path), box).collect())
+    assert found(Box(-32, 63, -32, 63)) == sorted(n for n in names if "9" not in n)
+    assert found(Box()) == sorted(names)
+    assert found(Box(0, 31, 0, 31)) == ["r.0.0.mca"] and found(Box(5000, 5001, 0, 0)) == []
+
+
+def test_an_archive_is_a_folder(spark, world):
+    box = Box.around(0, 0, 40)
+    columns = ["chunk_x", "chunk_z", "min_y", "max_y", "hash", "error"]
+    rows = lambda path: sorted(map(str, scan(discover(spark, str(path), box), box).select(*columns).collect()))
+    assert rows(world / "world.zip") == rows(world / "region")
+
+
+def test_places_by_document(spark):
+    names, cells = ["minecraft:air", "minecraft:stone"], np.zeros(4096, int)
+    cells[:256] = 1
+    document = lambda x, z: w.modern_chunk(x, z, [w.modern_section(0, names, cells)])
+    files = [("r.0.0.mca", w.region({(0, 0): (document(40, -3), 2), (1, 0): (document(7, 7), 2)})), ("r.1.0.mca", w.region({(0, 0): (document(7, 7), 1)}))]
+    chunks = scan(spark.createDataFrame(files, "path string, content binary"))
+    placed = by_document(chunks)
+    assert {(r.chunk_x, r.chunk_z, r.path) for r in placed.collect()} == {(40, -3, "r.0.0.mca"), (7, 7, "r.1.0.mca")}
+    assert {(r.gx >> 4, r.gz >> 4) for r in runs_of(placed).select("gx", "gz").distinct().collect()} == {(40, -3), (7, 7)}
+
+
+def test_a_hash_does_not_depend_on_pieces():
+    values = np.random.default_rng(0).integers(-128, 128, 1000).astype(np.int8)
+    assert len({poly_hash(values, piece) for piece in (1, 7, 999, 1000, 1 << 20)}) == 1
+
+
+def test_a_folder_that_executors_do_not_see_is_refused():
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
