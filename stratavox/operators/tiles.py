@@ -30,26 +30,36 @@ def min_fold(ordered: Column) -> Column:
     return F.aggregate(ordered, F.lit(0), lambda s, m: F.when((m < s) | (s == 0), m).otherwise(s))
 
 
-def fold_tiles(rows: DataFrame, keys: list, order: list[str]) -> DataFrame:
-    """(*keys, min_y, max_y) from ``rows`` with min_y and max_y, folded in ``order``.
-
-    A group has the chunks of a tile (16) or the children of a parent (4), so its list is short.
-    """
+def fold_few(rows: DataFrame, keys: list, order: list[str]) -> DataFrame:
+    """``fold_tiles`` for groups that are bounded: the 16 chunks of a tile, the 4 children of a parent."""
     listed = F.sort_array(F.collect_list(F.struct(*order, "min_y")))
     ordered = F.transform(listed, lambda r: r["min_y"])
     return rows.groupBy(*keys).agg(min_fold(ordered).cast("int").alias("min_y"), F.greatest(F.max("max_y"), F.lit(0)).cast("int").alias("max_y"))
 
 
+def fold_tiles(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(*keys, min_y, max_y) from ``rows`` with min_y and max_y, folded as ``min_fold`` does in ``order``, for groups of any size.
+
+    In closed form, so that all of it aggregates partially: the least value if it is not 0,
+    else the least after the last 0, else 0.
+    """
+    place = F.struct(*order)
+    ends = rows.groupBy(*keys).agg(F.min("min_y").alias("low"), F.max(F.when(F.col("min_y") == 0, place)).alias("last"), F.greatest(F.max("max_y"), F.lit(0)).cast("int").alias("max_y"))
+    after = rows.join(ends.where("low = 0").select(*keys, "last"), keys).where(place > F.col("last")).groupBy(*keys).agg(F.min("min_y").alias("tail"))
+    low = F.when(F.col("low") == 0, F.coalesce("tail", F.lit(0))).otherwise(F.col("low"))
+    return ends.join(after, keys, "left").select(*keys, low.cast("int").alias("min_y"), "max_y")
+
+
 def tiles_of_chunks(bounds: DataFrame, order: list[str]) -> DataFrame:
     """Level-0 tiles of ``bounds(chunk_x, chunk_z, min_y, max_y, *order)``."""
     keys = [floor_shift("chunk_x", TILE_CHUNK_BITS).alias("pos_x"), floor_shift("chunk_z", TILE_CHUNK_BITS).alias("pos_z")]
-    return fold_tiles(bounds, keys, order)
+    return fold_few(bounds, keys, order)
 
 
 def parent_tiles(tiles: DataFrame) -> DataFrame:
     """Tiles of the next level; children count in order of their position."""
     keys = [(F.col("level") + 1).alias("level"), floor_shift("pos_x", 1).alias("px"), floor_shift("pos_z", 1).alias("pz")]
-    return fold_tiles(tiles, keys, ["pos_x", "pos_z"]).select("level", F.col("px").alias("pos_x"), F.col("pz").alias("pos_z"), "min_y", "max_y")
+    return fold_few(tiles, keys, ["pos_x", "pos_z"]).select("level", F.col("px").alias("pos_x"), F.col("pz").alias("pos_z"), "min_y", "max_y")
 
 
 def samples(runs: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:

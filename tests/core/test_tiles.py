@@ -36,8 +36,9 @@ def test_fold_column(spark):
     rng = random.Random(1)
     cases = [[rng.randint(-2, 4) for _ in range(rng.randint(1, 7))] for _ in range(200)]
     rows = [(g, i, m, m + 1) for g, c in enumerate(cases) for i, m in enumerate(c)]
-    got = T.fold_tiles(spark.createDataFrame(rows, "g int, i int, min_y int, max_y int"), ["g"], ["i"]).collect()
-    assert all(r.min_y == fold(cases[r.g]) and r.max_y == max(0, max(cases[r.g]) + 1) for r in got) and len(got) == 200
+    for function in (T.fold_tiles, T.fold_few):
+        got = function(spark.createDataFrame(rows, "g int, i int, min_y int, max_y int"), ["g"], ["i"]).collect()
+        assert all(r.min_y == fold(cases[r.g]) and r.max_y == max(0, max(cases[r.g]) + 1) for r in got) and len(got) == 200
 
 
 def merge(columns):
