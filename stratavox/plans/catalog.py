@@ -14,7 +14,9 @@ from stratavox.operators import tiles as T
 from stratavox.operators import voxels as V
 from stratavox.plans.adapters import AIR_CODE, PALETTE, adapter
 from stratavox.plans.oracles import ORACLES  # noqa: F401
-from stratavox.plans.worlds import bake_world, scan_world
+from stratavox.plans.worlds import bake_levels, bake_world, document_tiles, scan_world
+from stratavox.sources.blobs import checksums
+from stratavox.sources.tables import written
 
 CENTER, RADIUS = (8, -40), 40
 LOW_SECTION, SECTIONS = -1, 3
@@ -139,7 +141,7 @@ def lod_downsample_l1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lod_pyramid_l4(spark: SparkSession, d: str) -> DataFrame:
-    return T.pyramid(_runs(spark, d), 4).where("level > 0").drop("run_ord")
+    return T.pyramid(_runs(spark, d), 4, keep=written).where("level > 0").drop("run_ord")
 
 
 def lod_top_run(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +158,7 @@ def chunk_hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 def blob_checksum(spark: SparkSession, d: str) -> DataFrame:
-    return adapter(spark, d, "byte_payloads").select("doc_id", C.poly_hash(C.signed_bytes("hx")).alias("checksum"))
+    return checksums(adapter(spark, d, "byte_payloads").select("doc_id", F.unhex("hx").alias("data")), "doc_id", "data")
 
 
 def varint_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +174,7 @@ def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tile_union_counts(spark: SparkSession, d: str) -> DataFrame:
-    runs = T.pyramid(_runs(spark, d), 2)
+    runs = T.pyramid(written(_runs(spark, d), "runs"), 2, keep=written)
     tile = F.struct(C.floor_shift("gx", 6), C.floor_shift("gz", 6))
     length = (F.col("y_max") - F.col("y_min") + 1).cast("long")
     return runs.groupBy("level").agg(F.count_distinct(tile).alias("tiles"), F.count("*").alias("runs"), F.sum(length).alias("height"))
@@ -246,5 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         biome_decode,
         scan_world,
         bake_world,
+        bake_levels,
+        document_tiles,
     )
 }

@@ -142,7 +142,7 @@ SELECT o.px, o.pz, ord, rep_flags, color, flags FROM o JOIN f ON o.px = f.px AND
     "lod_top_run": f"""WITH {_RUNS}, top AS (SELECT gx, gz, max(run_ord) AS run_ord, arg_max(y_min, run_ord) AS y_min, arg_max(y_max, run_ord) AS y_max, arg_max(color, run_ord) AS color, arg_max(flags, run_ord) AS flags FROM runs GROUP BY gx, gz)
 SELECT {_COLS} FROM {_level('top')} WHERE color <> 0""",
     "chunk_hash": f"WITH {_B}, {_HASHES} SELECT chunk_x, chunk_z, hash FROM hashes",
-    "blob_checksum": f"""WITH {_T}, bytes AS (SELECT doc_id, list_transform(range(0, len(hx) // 2), lambda i: CAST(('0x' || substring(hx, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)) AS b FROM t),
+    "blob_checksum": f"""WITH {_T}, bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hx, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM t),
 hashed AS (SELECT doc_id, list_reduce(list_prepend(1::BIGINT, b), lambda a, x: (a * 31 + CASE WHEN x > 127 THEN x - 256 ELSE x END) & 4294967295) AS h FROM bytes)
 SELECT doc_id, {_SIGNED} AS checksum FROM hashed""",
     "varint_encode": f"WITH {_T} SELECT doc_id, {_varint()} AS varint FROM t",
@@ -177,7 +177,16 @@ heads AS (SELECT t.level, t.pos_x, t.pos_z, string_agg({_varint()}, '' ORDER BY
 bodies AS (SELECT level, pos_x, pos_z, string_agg(record, '' ORDER BY cell, run_ord) AS body FROM cut GROUP BY ALL),
 blobs AS (SELECT t.level, t.pos_x, t.pos_z, min_y, head || coalesce(body, '') AS hx FROM tiles t JOIN heads h ON h.level = t.level AND h.pos_x = t.pos_x AND h.pos_z = t.pos_z
   LEFT JOIN bodies b ON b.level = t.level AND b.pos_x = t.pos_x AND b.pos_z = t.pos_z),
-bytes AS (SELECT level, pos_x, pos_z, min_y, len(hx) // 2 AS raw_bytes, list_transform(range(0, len(hx) // 2), lambda i: CAST(('0x' || substring(hx, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)) AS b FROM blobs),
+bytes AS (SELECT level, pos_x, pos_z, min_y, len(hx) // 2 AS raw_bytes, list_transform(regexp_extract_all(hx, '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM blobs),
 hashed AS (SELECT *, list_reduce(list_prepend(1::BIGINT, b), lambda a, x: (a * 31 + CASE WHEN x > 127 THEN x - 256 ELSE x END) & 4294967295) AS h FROM bytes)
 SELECT level, pos_x, pos_z, min_y, {_SIGNED} AS checksum, raw_bytes FROM hashed""",
 }
+
+ORACLES["bake_levels"] = ORACLES["bake_world"]
+# Chunks are moved by 101 and -46; within a tile they fold by file and slot: by region, then z and x within it.
+ORACLES["document_tiles"] = f"""WITH {_RUNS}, {_BOUNDS.split(_BLOCKS + ',')[1]},
+placed AS (SELECT CAST((chunk_x + 101) >> 2 AS INTEGER) AS pos_x, CAST((chunk_z - 46) >> 2 AS INTEGER) AS pos_z, 'region/r.' || (chunk_x >> 5) || '.' || (chunk_z >> 5) || '.mca' AS path,
+  (chunk_x & 31) + (chunk_z & 31) * 32 AS slot, min_y, max_y FROM bounds),
+tiles AS {_fold('placed', 'pos_x, pos_z', 'path, slot')},
+n AS (SELECT ((gx >> 4) + 101) >> 2 AS px, ((gz >> 4) - 46) >> 2 AS pz, count(*) AS runs, CAST(sum(y_max - y_min + 1) AS BIGINT) AS height FROM runs GROUP BY 1, 2)
+SELECT pos_x, pos_z, min_y, max_y, coalesce(runs, 0) AS runs, coalesce(height, 0) AS height FROM tiles LEFT JOIN n ON px = pos_x AND pz = pos_z"""

@@ -46,6 +46,17 @@ def checksum(raw: bytes) -> int:
     return poly_hash(np.frombuffer(raw, dtype=np.int8))
 
 
+def checksums(rows: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, checksum) of whole binary values, in bulk; a null has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [checksum(v.as_buffer()) if v.is_valid else None for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.int32())], [key, "checksum"])
+
+    return rows.select(key, data).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, checksum int")
+
+
 def read_blob(data: bytes) -> list[np.ndarray]:
     """Runs of each of the 4096 columns of a compressed blob, as records."""
     raw = zstandard.decompress(data)
