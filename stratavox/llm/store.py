@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="stratavox-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
+from stratavox.sources.tables import fresh_path, hadoop_path
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class tidy_shuffles:
@@ -60,10 +50,42 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_stratavox_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            target, fs = hadoop_path(df.sparkSession, path)
+            fs.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system: workers outlive their tasks, and idle ones would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc
+
+
+def batchwise(function):
+    """For mapInArrow: ``function(batch)`` yields batches; at the end the worker's freed memory goes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from function(batch)
+        del batches
+        give_back()
+
+    return run
+
+
+def groupwise(function):
+    """For applyInArrow: ``function(table)``, after which the worker's freed memory goes back."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = function(t)
+        del t
+        give_back()
+        return out
+
+    return run
