@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, defaultdict
 
 from hypothesis import given, settings
@@ -76,3 +77,29 @@ def test_many_groups_and_a_hot_cluster(spark):
     docs = {i: [("same text here" if i % 3 == 0 else "w " * rng.randint(1, 30) + str(i), f"s{i % 2}")] for i in range(400)}
     df = spark.createDataFrame([(i, *v[0]) for i, v in docs.items()], "doc_id long, text string, source string")
     check(pack(df, 32, 3, group_rows=50).collect(), docs, 32, 3)
+
+
+def test_bins_follow_from_the_rows_and_not_from_their_files(spark, odd_docs):
+    ids = lambda df: Counter((r.doc_id, r.piece, r.size, r.bin_id, r.room) for r in pack(df, 16, 2, group_rows=20).collect())
+    assert ids(odd_docs.repartition(1)) == ids(odd_docs.repartition(5, "text"))
+
+
+def test_ids_of_text_and_a_given_cluster(spark):
+    rows = [(f"d{i}", f"words of {i} here", "s", i // 2) for i in range(40)] + [("d0", "words of 0 here", "s", 0)] * 5 + [(None, "x", None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, near int")
+    out = pack(df, 64, 50, cluster="near").collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    bins = defaultdict(list)
+    for r in out:
+        bins[r.bin_id].append(r.doc_id)
+    for ids in bins.values():
+        near = [int(i[1:]) // 2 for i in ids if i]
+        assert len(near) == len(set(near))
+
+
+def test_a_hot_cluster_or_source_is_passed_over_fast():
+    for source, cluster in ((lambda i: i % 7, lambda i: 0), (lambda i: 0, lambda i: i)):
+        b, began = Bins(1000, 2), time.time()
+        for i in range(8192):
+            b.put(1 + (8192 - i) // 100, source(i), cluster(i))
+        assert time.time() - began < 4
