@@ -1,8 +1,12 @@
 import hashlib
+import pickle
 import random
 import re
+from types import SimpleNamespace
 
-from stratavox.llm.decontaminate import clean, op8_decontaminate, remove_spans, report, window_set
+import pyarrow as pa
+
+from stratavox.llm.decontaminate import KnownWindows, clean, known_windows, op8_decontaminate, remove_spans, report, window_set
 from tests.conftest import SF, SF2
 
 
@@ -61,13 +65,19 @@ def test_odd_rows(spark, odd_docs, words):
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
 
 
+def spans_removed(text, known):
+    texts = pa.array([text])
+    new, words, removed = remove_spans(texts, KnownWindows([SimpleNamespace(value=known)]).scan)
+    return new.get(0, text), words[0], removed[0]
+
+
 def test_spans_go_and_the_rest_stays():
-    known = window_set([(1, "a b c d e f g h i j k")])
-    assert remove_spans("Start, A b c d e f g h i j K end.", known) == ("Start,  end.", 13, 11)
-    assert remove_spans("a b c d e f g h i", known) == ("a b c d e f g h i", 9, 0)
+    known = window_set(pa.array(["1"]), pa.array(["a b c d e f g h i j k"]))
+    assert spans_removed("Start, A b c d e f g h i j K end.", known) == ("Start,  end.", 13, 11)
+    assert spans_removed("a b c d e f g h i", known) == ("a b c d e f g h i", 9, 0)
     # What a removal brings together is scanned again.
     nested = "a b c d e a b c d e f g h i j f g h i j"
-    assert remove_spans(nested, known)[0].split() == []
+    assert spans_removed(nested, known)[0].split() == []
 
 
 def test_clean_drops_what_is_mostly_benchmark(spark):
@@ -77,10 +87,32 @@ def test_clean_drops_what_is_mostly_benchmark(spark):
     assert sorted(out) == [2, 3] and out[2].text.strip() == ("own words " * 10).strip() and out[2].n_chars == len(out[2].text)
 
 
-def test_a_benchmark_too_large_to_send_is_refused(spark):
-    import pytest
+def test_parts_give_what_the_whole_gives(spark, odd_docs, words):
+    rng = random.Random(2)
+    items = [(f"i{k}", " ".join(rng.choice(words[:40]) for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(None, "never an item"), ("i3", "a second text of i3")]
+    docs = [(k, " ".join([rng.choice(words), items[k][1], "and", items[k + 1][1].upper()])) for k in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    rows = lambda size: sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.items), r.contaminated) for r in report(df, bench, part_bytes=size).collect())
+    want = sorted(brute(docs, items[:60] + items[61:]))
+    assert rows(1 << 20) == rows(500) == want
+    assert len(known_windows(bench, part_bytes=500).parts) > 5
+    left = lambda size: sorted((r.doc_id, r.text) for r in clean(df, bench, part_bytes=size).collect())
+    assert left(1 << 20) == left(500) and len(left(500)) < 50
 
-    from stratavox.llm.decontaminate import known_windows
 
-    with pytest.raises(ValueError):
-        known_windows(spark.createDataFrame([(1, "some text")], "item_id long, text string"), most=5)
+def test_windows_are_compact(words):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(1000)]
+    size = sum(map(len, texts))
+    known = window_set(pa.array([str(k) for k in range(1000)]), pa.array(texts))
+    held = len(known.text) + known.start.nbytes + sum(t.hashes.nbytes + t.word.nbytes + t.places.nbytes for t in known.tables.values())
+    assert held < 10 * size and len(pickle.dumps(known)) < 5 * size
+
+
+def test_a_word_longer_than_a_slice_and_a_long_text(spark):
+    item = "a1 b1 c1 d1 e1 f1 g1 h1 i1 j1"
+    text = "x" * 2_500_000 + f" {item} " + "tail " * 600_000 + item
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (r,) = report(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert (r.n_words, r.n_hit, r.items) == (600_021, 20, ["1"])
