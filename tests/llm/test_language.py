@@ -4,7 +4,7 @@ import time
 import numpy as np
 import pytest
 
-from stratavox.llm.language import identify, op9_language, visible
+from stratavox.llm.language import _trigrams, identify, op9_language, text_scores, train, visible
 from tests.conftest import SF2
 
 
@@ -86,3 +86,65 @@ def test_without_languages(spark):
     df = spark.createDataFrame([(1, "http://h/", "x")], "page_id long, url string, html string")
     r = identify(df, docs(spark).limit(0)).collect()[0]
     assert r.lang is None and r.posterior is None
+
+
+def test_pages_without_evidence_have_no_vote(spark):
+    b = "xwrq zzpt qqvk " * 30
+    rows = [(i, "http://x.host.test/", page("bb", b)) for i in range(10)] + [(100 + i, "http://x.host.test/", "") for i in range(30)]
+    got = identify(spark.createDataFrame(rows, "page_id long, url string, html string"), docs(spark)).collect()
+    assert all(r.lang == "bb" for r in got) and all(r.posterior > 0.8 for r in got if r.page_id >= 100)
+    alone = spark.createDataFrame([(1, "http://x.host.test/", "")], "page_id long, url string, html string")
+    assert identify(alone, docs(spark)).collect()[0].posterior == pytest.approx(0.5)
+
+
+def plain_posteriors(rows, languages, model):
+    """Every page by itself: its scores, and the votes of all other pages at three levels."""
+    pages = []
+    for i, url, html in rows:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2].lower()) if m else ("", "")
+        labels = host.split(".")
+        tag = re.search(r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2})""", html or "")
+        said = tag[1].lower() if tag and tag[1].lower() in languages else None
+        hint = next((s for s in path.split("/") if s in languages), None) or (labels[-1] if labels[-1] in languages else None)
+        (score,), (any_text,) = text_scores([visible((html or "").encode())], model)
+        for code, right in ((said, 0.9), (hint, 0.8)):
+            if code:
+                score = score + [np.log(right if c == code else (1 - right) / (len(languages) - 1)) for c in languages]
+        p = np.exp(score - max(score))
+        vote = np.rint(1e6 * p / p.sum()) / 1e6 if any_text or said or hint else np.zeros(len(languages))
+        pages.append((i, host, ".".join(labels[1:]) if len(labels) > 2 else host, score, vote))
+    for a, (i, host, parent, score, _) in enumerate(pages):
+        prior = None
+        for test in (lambda q: True, lambda q: q[2] == parent, lambda q: q[1] == host):  # noqa: B023
+            n = np.zeros(len(languages)) + sum(q[4] for b, q in enumerate(pages) if b != a and test(q))
+            prior = (n + 1) if prior is None else n + 20 * prior
+            prior = prior / prior.sum()
+        fused = score + np.log(prior)
+        p = np.exp(fused - fused.max())
+        yield i, languages[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_posteriors_equal_brute_force(spark):
+    made = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF2}/pages.parquet").limit(150).collect()]
+    rows = made + [(1000 + i, "http://a.b.test/x", "" if i % 3 else page("fr" if i % 2 else None, "mot " * (i % 4))) for i in range(20)] + [(None, None, None), (7, "", "?"), (7, "", "?")]
+    source = spark.read.parquet(f"{SF2}/documents.parquet")
+    languages, model = train(source)
+    want = sorted(plain_posteriors(rows, languages, model), key=str)
+    got = sorted(((r.page_id, r.lang, r.posterior) for r in identify(spark.createDataFrame(rows, "page_id long, url string, html string"), source).collect()), key=str)
+    assert [g[:2] for g in got] == [x[:2] for x in want]
+    assert [g[2] for g in got] == pytest.approx([x[2] for x in want], rel=1e-6)
+
+
+def test_a_very_long_page(spark):
+    text = "kalo mira suno " * 400_000
+    (r,) = identify(spark.createDataFrame([(1, "http://h/", page(None, text))], "page_id long, url string, html string"), docs(spark)).collect()
+    assert r.lang == "aa"
+    whole = np.concatenate(list(_trigrams(visible(text.encode()))))
+    assert len(whole) == len(text) - 2
+
+
+def test_many_languages_keep_the_model_bounded(spark):
+    rows = [(i, f"w{i} " * 5, f"l{i}") for i in range(700)]
+    languages, model = train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(languages) == 700 and model.size <= 1 << 24
