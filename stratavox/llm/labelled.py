@@ -28,7 +28,7 @@ def label_sample(labels: DataFrame, column: str, parts: int, held_out: int, most
     if n <= most:
         return y
     share = int(most / n * (1 << 30))
-    return y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(2 * most)
+    return y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

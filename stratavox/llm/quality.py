@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.llm.labelled import fold, label_sample, sigmoid
-from stratavox.llm.store import table
-from stratavox.llm.words import SPACED, Words, ngram_hashes, slices
+from stratavox.llm.store import batchwise, table
+from stratavox.llm.words import SLICE_BYTES, SPACED, Words, ngram_hashes, slices
 
 PARTS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -50,6 +50,10 @@ def _distinct(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     """Distinct keys and the count of the commonest key, by document."""
     if not len(keys):
         return np.zeros(n), np.zeros(n)
+    if n == 1:
+        ordered = np.sort(keys)
+        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
+        return np.array([len(at) - 1.0]), np.array([np.diff(at).max()], dtype=float)
     order = np.lexsort((keys, doc))
     k, d = keys[order], doc[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
@@ -63,8 +67,13 @@ def statistics(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     """One row of statistics per document of a slice; an empty text has zeros."""
     n = len(off) - 1
     size = np.diff(off)
-    doc_of_byte = np.repeat(np.arange(n), size)
-    counts = np.bincount(doc_of_byte * _KINDS + _KIND[raw], minlength=n * _KINDS).reshape(n, _KINDS)
+    counts = np.zeros(n * _KINDS, dtype=np.int64)
+    for a in range(0, len(raw), SLICE_BYTES):
+        b = min(a + SLICE_BYTES, len(raw))
+        low, high = np.searchsorted(off, a, side="right") - 1, np.searchsorted(off, b)
+        doc_of_byte = np.repeat(np.arange(low, high), np.diff(np.clip(off[low : high + 1], a, b)))
+        counts += np.bincount(doc_of_byte * _KINDS + _KIND[raw[a:b]], minlength=n * _KINDS)
+    counts = counts.reshape(n, _KINDS)
     w = Words(raw, off, SPACED)
     c = w.counts()
     doc = np.repeat(np.arange(n), c)
@@ -189,18 +198,21 @@ def _of(texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Forest:
-    """Train on at most about MAX_TRAIN labelled rows outside the held-out fold.
+    """Train on at most about MAX_TRAIN labelled rows outside the held-out fold, chosen by a hash.
 
     Only the sample's statistics, a bounded number of short rows, reach the driver.
     """
     sample = label_sample(labels, "quality", PARTS, HELD_OUT, MAX_TRAIN)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _of(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+    def measure(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        x = _of(batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(measure, "x array<double>, y int").limit(4 * MAX_TRAIN).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    n = rows.count()
+    if n > 2 * MAX_TRAIN:  # ids that many rows repeat
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(MAX_TRAIN / n * (1 << 30)))
+    rows = rows.select("text", "y").mapInArrow(batchwise(measure), "x array<double>, y int").collect()
     order = sorted((tuple(r["x"]), r["y"]) for r in rows)
     x = np.array([r[0] for r in order]).reshape(len(order), STATISTICS)
     return grow(x, np.array([r[1] for r in order], dtype=float))
@@ -210,12 +222,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score per row of ``docs``; null and empty texts score as a document of zeros."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(_of(batch.column(1))))], names=["doc_id", "score"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(_of(batch.column(1))))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(batchwise(run), f"doc_id {kind}, score double")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,11 +234,10 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     where = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.score(_of(batch.column(where))) >= threshold))
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(shared.value.score(_of(batch.column(where))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(batchwise(run), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

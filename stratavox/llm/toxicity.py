@@ -1,10 +1,13 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on ordinary text followed
-by the passages that set toxic text apart (byte runs found in toxic documents and hardly
-ever in ordinary ones). Every window of a few words is compressed against both; where the
-toxic dictionary shortens it by more, the window speaks for toxicity. A document's best
-windows go through a logistic calibration fitted on rows that trained no dictionary.
+Two dictionaries are trained by zstandard's trainer: one on ordinary text, one on toxic
+text. Every window of a few words is compressed with the ordinary dictionary alone and with
+both; the bytes that the toxic one saves speak for toxicity. A document's best windows go
+through a logistic calibration fitted on rows that trained no dictionary.
+
+The trainer knows no contrast, and toxic documents are mostly ordinary text: trained on
+whole documents the two dictionaries hardly differ (see the README for figures). So the
+toxic samples are those passages of toxic documents whose byte runs ordinary ones lack.
 """
 
 from __future__ import annotations
@@ -20,17 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.llm.labelled import fit_logistic, fold, label_sample, sigmoid
-from stratavox.llm.store import table
+from stratavox.llm.store import batchwise, table
 from stratavox.llm.words import SPACED, U64, Words, ngram_hashes, slices
 
 PARTS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-#: Labelled rows that may be fitted on, and the longest text among them in bytes.
-MAX_TRAIN, MAX_TRAIN_BYTES = 16_000, 16 << 10
+#: Labelled rows that may be fitted on, and bytes of their texts in all, about.
+MAX_TRAIN, MAX_TRAIN_BYTES = 16_000, 24 << 20
 #: Words in a window and words from one window to the next.
 WINDOW, STRIDE = 6, 3
 LEVEL = 3
-BASE_BYTES, TOXIC_PIECES = 64 << 10, 400
+#: Windows compressed at once.
+_AT_ONCE = 1 << 16
+#: Sizes of the dictionaries, the trainer's segments for them, and bytes of an ordinary sample.
+ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SEGMENT, TOXIC_SEGMENT, SAMPLE = 64 << 10, 4 << 10, 64, 24, 160
+#: Times that a run of bytes must be as common in toxic documents as in ordinary ones to be a sample.
+CONTRAST = 40.0
 #: Parts that the calibration measures in turn.
 FOLDS = 3
 FEATURES = 5
@@ -52,7 +60,7 @@ class ToxicModel:
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
-        for content in (self.ordinary, self.toxic):
+        for content in (self.ordinary, self.ordinary + self.toxic):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
@@ -77,23 +85,34 @@ def _windows(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, (w.end[b] - start if len(doc) else start), n
 
 
+def _gains(folded: np.ndarray, start: np.ndarray, size: np.ndarray, pair: list[zstandard.ZstdCompressor]) -> Iterator[tuple[int, np.ndarray]]:
+    """Bytes that the toxic dictionary saves, for some windows at a time: (first window, gains)."""
+    for i in range(0, len(start), _AT_ONCE):
+        first, sizes = start[i : i + _AT_ONCE].astype(np.int64), size[i : i + _AT_ONCE]
+        low, high = int(first[0]), int((first + sizes).max())
+        segments = np.column_stack([first - low, sizes]).astype("<u8").tobytes()
+        data = folded[low:high].tobytes()
+        yield i, _lengths(pair[0], data, segments) - _lengths(pair[1], data, segments)
+
+
 def features(raw: np.ndarray, off: np.ndarray, pair: list[zstandard.ZstdCompressor]) -> np.ndarray:
     """Per document: the best three windows, strong windows, and the logarithm of all."""
     folded = _FOLDED[raw]
     start, size, n = _windows(folded, off)
     out = np.zeros((len(n), FEATURES))
-    if len(start):
-        segments = np.column_stack([start, size]).astype("<u8").tobytes()
-        data = folded.tobytes()
-        gain = _lengths(pair[0], data, segments) - _lengths(pair[1], data, segments)
-        doc = np.repeat(np.arange(len(n)), n)
+    ends = np.cumsum(n)
+    for i, gain in _gains(folded, start, size, pair):
+        doc = np.searchsorted(ends, np.arange(i, i + len(gain)), side="right")
         order = np.lexsort((-gain, doc))
-        first = np.cumsum(n) - n
+        here, first, many = np.unique(doc, return_index=True, return_counts=True)
+        best = np.zeros((len(here), 6))
+        best[:, :3] = out[here, :3]
         for k in range(3):
-            has = n > k
-            out[has, k] = np.maximum(gain[order[first[has] + k]], 0)
-        out[:, 3] = np.log1p(np.bincount(doc[gain >= 5], minlength=len(n)))
-    out[:, 4] = np.log1p(n)
+            has = many > k
+            best[has, 3 + k] = gain[order[first[has] + k]]
+        out[here, :3] = -np.sort(-np.maximum(best, 0), axis=1)[:, :3]
+        out[:, 3] += np.bincount(doc[gain >= 5], minlength=len(n))
+    out[:, 3:] = np.log1p(np.column_stack([out[:, 3], n]))
     return out
 
 
@@ -101,42 +120,57 @@ def _grams(b: np.ndarray) -> np.ndarray:
     h = np.zeros(max(0, len(b) - _GRAM + 1), dtype=U64)
     for j in range(_GRAM):
         h = h * U64(0x100000001B3) + b[j : j + len(h)]
-    return (h * U64(0x9E3779B97F4A7C15)) >> U64(64 - _GRAM_BITS)
+    return ((h * U64(0x9E3779B97F4A7C15)) >> U64(64 - _GRAM_BITS)).astype(np.uint32)
 
 
 def _folded(text: str) -> np.ndarray:
     return _FOLDED[np.frombuffer(f" {text} ".encode(), dtype=np.uint8)]
 
 
-def _toxic_content(toxic: list[np.ndarray], ordinary: list[np.ndarray], ratio: float = 40.0) -> bytes:
-    """Runs of byte 5-grams that are common in toxic documents and rare in ordinary ones, the commonest last."""
-    df = np.zeros((2, 1 << _GRAM_BITS), dtype=np.int64)
-    for row, docs in enumerate((ordinary, toxic)):
-        for b in docs:
-            df[row, np.unique(_grams(b))] += 1
-    rate = (df + 0.5) / (np.array([[len(ordinary)], [len(toxic)]]) + 1)
-    strong = (rate[1] > ratio * rate[0]) & (df[1] >= max(4, 0.008 * len(toxic)))
-    runs: Counter[bytes] = Counter()
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary by zstandard's trainer; of too few samples for it, the samples themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return (b"".join(samples) or b" " * 16)[-size:]
+
+
+def _passages(toxic: list[np.ndarray], ordinary_df: np.ndarray, toxic_df: np.ndarray, n_ordinary: int) -> list[bytes]:
+    """Runs of byte 5-grams in toxic documents that are common in them and rare in ordinary ones, each as often as it is there.
+
+    Zeros after each keep the trainer's segments from running on into the next.
+    """
+    strong = ((toxic_df + 0.5) / (len(toxic) + 1) > CONTRAST * (ordinary_df + 0.5) / (n_ordinary + 1)) & (toxic_df >= max(4, 0.008 * len(toxic)))
+    out = []
     for b in toxic:
         edge = np.diff(np.concatenate([[0], strong[_grams(b)].astype(np.int8), [0]]))
-        for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-            runs[b[i : j + _GRAM - 1].tobytes()] += 1
-    kept = sorted((r for r, n in runs.items() if n >= 3 and len(r) > _GRAM), key=lambda r: (-runs[r], r))[:TOXIC_PIECES]
-    return b"".join(r + b"\0" for r in reversed(kept))
+        out += [b[i : j + _GRAM - 1].tobytes() + bytes(4) for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+    times = Counter(out)
+    return [p for p in out if times[p] >= 3]
 
 
-def _dictionaries(rows: list[tuple[np.ndarray, int]], prior: float) -> ToxicModel:
-    by = [[b for b, y in rows if y == label] for label in (0, 1)]
-    base = _ordinary_content(by[0])
-    return ToxicModel(base, base + (_toxic_content(by[1], by[0]) if by[1] else b""), None, prior)
+@dataclass
+class _Row:
+    """A training row: its text, folded bytes, distinct byte runs, and label."""
 
+    text: str
+    folded: np.ndarray
+    grams: np.ndarray
+    y: int
 
-def _ordinary_content(ordinary: list[np.ndarray]) -> bytes:
-    """Ordinary text, an equal part of every training document, up to the dictionary's size."""
-    if not ordinary:
-        return b" " * 16
-    part = max(256, BASE_BYTES // len(ordinary))
-    return b"".join(b[len(b) // 3 :][:part].tobytes() for b in ordinary)[:BASE_BYTES]
+
+def _document_counts(rows: list[_Row]) -> np.ndarray:
+    out = np.zeros(1 << _GRAM_BITS, dtype=np.int32)
+    for r in rows:
+        out[r.grams] += 1
+    return out
+
+
+def _dictionaries(rows: list[_Row], prior: float) -> ToxicModel:
+    ordinary, toxic = ([r for r in rows if r.y == label] for label in (0, 1))
+    pieces = [r.folded[i : i + SAMPLE].tobytes() for r in ordinary for i in range(0, len(r.folded), SAMPLE)]
+    passages = _passages([r.folded for r in toxic], _document_counts(ordinary), _document_counts(toxic), len(ordinary))
+    return ToxicModel(_trained([p for p in pieces if len(p) >= 16], ORDINARY_BYTES, ORDINARY_SEGMENT), _trained(passages, TOXIC_BYTES, TOXIC_SEGMENT) if passages else b"", None, prior)
 
 
 def _without_copies(rows: list[tuple[str, int, object]]) -> list[tuple[str, int, object]]:
@@ -165,15 +199,14 @@ def train(rows: list[tuple[object, str, int]]) -> ToxicModel:
     """
     rows = sorted(((t, y, i) for i, t, y in rows if t is not None), key=lambda r: (str(r[2]), r[0]))
     prior = float(np.mean([y for _, y, _ in rows])) if rows else 0.5
-    rows = _without_copies(rows)
-    folded = [(_folded(t), y) for t, y, _ in rows]
-    y = np.array([y for _, y in folded])
-    model = _dictionaries(folded, prior)
+    known = [_Row(t, b := _folded(t), np.unique(_grams(b)), y) for t, y, _ in _without_copies(rows)]
+    y = np.array([r.y for r in known])
+    model = _dictionaries(known, prior)
     if min((y == 1).sum(), (y == 0).sum()) >= FOLDS:
-        x = np.zeros((len(rows), FEATURES))
+        x = np.zeros((len(known), FEATURES))
         for k in range(FOLDS):
-            pair = _dictionaries([f for j, f in enumerate(folded) if j % FOLDS != k], prior).compressors()
-            part = pa.array([t for t, _, _ in rows[k::FOLDS]], pa.large_string())
+            pair = _dictionaries([r for j, r in enumerate(known) if j % FOLDS != k], prior).compressors()
+            part = pa.array([r.text for r in known[k::FOLDS]], pa.large_string())
             x[k::FOLDS] = np.concatenate([features(raw, off, pair) for _, _, raw, off in slices(part)])
         model.weights = fit_logistic(x, y)
         model.weights[-1] += 0.5 * np.log((y == 0).sum() / (y == 1).sum())
@@ -181,23 +214,28 @@ def train(rows: list[tuple[object, str, int]]) -> ToxicModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
-    """Train on at most about MAX_TRAIN labelled rows outside the held-out fold."""
+    """Train on labelled rows outside the held-out fold, whatever their length.
+
+    At most about MAX_TRAIN rows and MAX_TRAIN_BYTES bytes of text take part: if there are
+    more, a hash of the id chooses among all of them, so that what the driver holds is
+    bounded whatever the tables' size.
+    """
     sample = label_sample(labels, "toxic", PARTS, HELD_OUT, MAX_TRAIN)
-    rows = (
-        docs.select("doc_id", "text")
-        .where(F.octet_length("text") <= MAX_TRAIN_BYTES)
-        .join(F.broadcast(sample), "doc_id")
-        .limit(4 * MAX_TRAIN)
-        .collect()
-    )
-    return train([(r["doc_id"], r["text"], r["y"]) for r in rows])
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, MAX_TRAIN / max(n, 1), MAX_TRAIN_BYTES / max(size, 1))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    t = rows.select("doc_id", "text", "y").toArrow()
+    return train(list(zip(*(t.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)))
 
 
-def scorer(model: ToxicModel):
-    """column of texts -> scores in 0..1, for use in a worker."""
+def scorer(shared):
+    """column of texts -> scores in 0..1, for use in a worker, which makes its compressors once; ``shared.value`` is the model."""
     state: dict[str, list] = {}
 
     def score(texts: pa.Array) -> np.ndarray:
+        model = shared.value
         if model.weights is None:
             return np.full(len(texts), model.prior)
         if "pair" not in state:
@@ -213,13 +251,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score per row of ``docs``. Null and empty texts have no windows and get the calibrated base score."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = scorer(shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of(batch.column(1)))], names=["doc_id", "score"])
+    of = scorer(shared)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of(batch.column(1)))], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(batchwise(run), f"doc_id {kind}, score double")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -227,12 +265,12 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     where = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = scorer(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array(of(batch.column(where)) < threshold))
+    of = scorer(shared)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(of(batch.column(where)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(batchwise(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
