@@ -3,9 +3,13 @@
 An ARC file opens with a version block whose third line names the fields of all header
 lines: five in version 1, ten in version 2. A record is a header line, as many bytes as
 its last field declares, and a line end. A WARC record gets an identifier, an ISO
-timestamp, a type and digests from that. Records end in two line breaks, which is the row
-separator that Spark's text writer is given, so archives are written by Spark itself, to
-any store it can write to.
+timestamp, a type and digests from that. Every WARC record is a gzip member of its own, and
+content may be any bytes.
+
+Archives are written by Spark's text writer, so they go to any store it can write to: a row
+is a run of members, and ends with an empty member but for its last byte, a zero, which is
+the row separator that the writer is given. Files are rolled after a few such rows, and are
+read member by member.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,19 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm.store import fresh_path, table, tidy_shuffles
+from stratavox.llm.filters import key_filter, may_hold
+from stratavox.llm.store import batchwise, fresh_path, materialize, table, tidy_shuffles
 
 # Fixed by the formats.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Least payload in bytes for which an equal earlier payload is referred to.
 REVISIT_FROM = 100
 #: Date of records whose source gives none.
 NO_DATE = "19700101000000"
+#: Pages of an ARC chunk, and its bytes from which on it ends; chunks alternate between the versions.
+CHUNK_PAGES, CHUNK_BYTES = 64, 4 << 20
+#: Bytes from which on a run of members ends, and runs in a file: a file has about 128 MB, besides its largest records.
+RUN_BYTES, FILE_RUNS = 16 << 20, 8
+#: Payloads that have copies, up to which they are sent to every executor; with more, pages that may have one are joined by digest.
+MAX_SENT = 200_000
+_EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+_PIECE = 1 << 20
 
 
 class ArchiveError(ValueError):
@@ -67,32 +81,82 @@ def arc_record(version: int, url: str, content: bytes, offset: int = 0, date: st
     return " ".join([*fields, str(len(content))]).encode() + b"\n" + content + b"\n"
 
 
+class _Stream:
+    """Bytes of an archive from its start; a gzipped one is unzipped member by member as it is read."""
+
+    def __init__(self, data: bytes):
+        self.raw, self.at = memoryview(data), 0
+        self.zipped, self.member = data[:2] == b"\x1f\x8b", None
+        self.held, self.pos = bytearray(), 0
+
+    def _more(self) -> bool:
+        del self.held[: self.pos]
+        self.pos = 0
+        before = len(self.held)
+        while len(self.held) == before and (self.at < len(self.raw) or self.member is not None):
+            chunk = self.raw[self.at : self.at + _PIECE]
+            if not self.zipped:
+                self.held += chunk
+                self.at += len(chunk)
+                continue
+            if self.member is None:
+                self.member = zlib.decompressobj(31)
+            try:
+                self.held += self.member.decompress(chunk, _PIECE)
+            except zlib.error as e:
+                raise ArchiveError(f"no gzip member at byte {self.at}: {e}") from None
+            self.at += len(chunk) - len(self.member.unconsumed_tail) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+            elif not len(chunk) and len(self.held) == before:
+                raise ArchiveError("a gzip member is cut short")
+        return len(self.held) > before
+
+    def ended(self) -> bool:
+        return self.pos == len(self.held) and not self._more()
+
+    def until(self, mark: bytes) -> bytes | None:
+        """Bytes before the next ``mark``, which is passed over; None if there is none."""
+        looked = self.pos
+        while (end := self.held.find(mark, looked)) < 0:
+            looked = max(len(self.held) - len(mark) + 1 - self.pos, 0)
+            if not self._more():
+                return None
+        out = bytes(self.held[self.pos : end])
+        self.pos = end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, or as many as are left."""
+        while len(self.held) - self.pos < n and self._more():
+            pass
+        out = bytes(self.held[self.pos : self.pos + n])
+        self.pos += len(out)
+        return out
+
+
 def read_arc(data: bytes) -> Iterator[ArcRecord]:
     """Records of an ARC file, the version block first. Data may be gzipped, also member by member."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at, names, version = 0, None, 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        if end < 0:
+    stream, names, version = _Stream(data), None, 0
+    while not stream.ended():
+        head = stream.until(b"\n")
+        if head is None:
             raise ArchiveError("a header line does not end")
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
+        if not head.strip(b"\r"):
+            continue
+        line = head.decode("utf-8", "replace").rstrip("\r").split(" ")
         try:
             length = int(line[-1])
         except ValueError:
             raise ArchiveError(f"no length in header line {line!r:.80}") from None
-        content = data[end + 1 : end + 1 + length]
+        content = stream.take(max(length, 0))
         if length < 0 or len(content) < length:
             raise ArchiveError("a record is cut short")
-        at = end + 1 + length
         if names is None:
-            head = content.decode("utf-8", "replace").splitlines()
-            if not line[0].startswith("filedesc:") or len(head) < 2 or head[0][:1] not in ("1", "2"):
+            lines = content.decode("utf-8", "replace").splitlines()
+            if not line[0].startswith("filedesc:") or len(lines) < 2 or lines[0][:1] not in ("1", "2"):
                 raise ArchiveError("no version block")
-            version, names = int(head[0][0]), head[1].split()
+            version, names = int(lines[0][0]), lines[1].split()
             yield ArcRecord(version, dict(zip(ARC_FIELDS[version].split(), line, strict=False)), content)
             continue
         if len(line) < len(names):
@@ -124,8 +188,8 @@ def _iso(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: tuple[int, str] | None = None) -> bytes:
-    """A WARC/1.1 record without its closing line breaks.
+def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: tuple[int, str] | None = None, source: str = "") -> bytes:
+    """A WARC/1.1 record without its closing line breaks; its identifier follows from page_id, url and ``source``.
 
     A version block becomes warcinfo, content with an HTTP status line response or revisit,
     anything else resource. With ``refers_to``, the page id and header url of the response
@@ -149,7 +213,7 @@ def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: tuple[int,
     if kind != "warcinfo":
         headers.append(f"WARC-Target-URI: {url}")
     headers += [
-        f"WARC-Record-ID: {record_id(page_id, url)}",
+        f"WARC-Record-ID: {record_id(page_id, source + url)}",
         f"WARC-Type: {kind}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"Content-Type: {media}",
@@ -160,25 +224,50 @@ def to_warc(record: ArcRecord, page_id: int | None = None, refers_to: tuple[int,
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of every record, by declared lengths; block digests are checked."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ArchiveError(f"no record at byte {at}")
-        lines = data[at:end].decode().split("\r\n")[1:]
+    stream, nth = _Stream(data), 0
+    while not stream.ended():
+        head = stream.until(RECORD_END)
+        if head is None or not head.startswith(b"WARC/"):
+            raise ArchiveError(f"no record after {nth}")
+        lines = head.decode().split("\r\n")[1:]
         headers = {k: v for k, _, v in (x.partition(": ") for x in lines)}
-        at = end + 4 + int(headers["Content-Length"])
-        block = data[end + 4 : at]
-        if len(data) < at + 4 or data[at : at + 4] != b"\r\n\r\n":
+        block = stream.take(int(headers["Content-Length"]))
+        if stream.take(4) != RECORD_END:
             raise ArchiveError("a record is cut short")
         if headers.get("WARC-Block-Digest", "").removeprefix("sha256:") != hashlib.sha256(block).hexdigest():
             raise ArchiveError("a block does not match its digest")
-        at += 4
+        nth += 1
         yield headers, block
 
 
+def member(record: bytes) -> bytes:
+    """A WARC record with its closing line breaks, as a gzip member."""
+    return gzip.compress(record + RECORD_END, mtime=0)
+
+
+def _runs(members: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows for the text writer: runs of members, each but for the last byte of the empty member it ends with."""
+    held, size = [], 0
+    for m in members:
+        held.append(m)
+        size += len(m)
+        if size >= RUN_BYTES:
+            yield _run(held)
+            held, size = [], 0
+    if held:
+        yield _run(held)
+
+
+def _run(held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(held) + _EMPTY_MEMBER[:-1]], pa.binary())], names=["value"])
+
+
+def _write(runs: DataFrame, path: str) -> None:
+    """``runs(value binary)`` as files; the cast keeps all bytes as they are."""
+    with tidy_shuffles(runs.sparkSession):
+        runs.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RUNS).text(path)
+
+
 def http_response(page_id: int | None, payload: bytes) -> bytes:
     shown = "" if page_id is None else str(page_id)
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {shown}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -189,47 +278,80 @@ def _lines(block: bytes) -> dict[str, str]:
     return {k: v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write ``pages(page_id, url, html)`` as gzipped WARC files under ``path``, through ARC records.
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """(page_id, url, payload, first, first_url) rows in chunks of bounded size."""
+    held, size = [], 0
+    for batch in batches:
+        for i in range(len(batch)):
+            held.append(tuple(batch.column(k)[i].as_py() for k in range(5)))
+            size += len(held[-1][2])
+            if len(held) == CHUNK_PAGES or size >= CHUNK_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """Members of pages, through ARC records of either version in turn."""
+    for number, chunk in enumerate(_chunks(batches)):
+        version = 1 + number % 2
+        parts, size = [arc_version_block(version)], 0
+        for page_id, url, payload, _, _ in chunk:
+            size += len(parts[-1])
+            parts.append(arc_record(version, url or "-", http_response(page_id, payload), size))
+        records = read_arc(b"".join(parts))
+        info = to_warc(next(records))
+        if not number:
+            yield member(info)
+        for (page_id, _, _, first, first_url), record in zip(chunk, records, strict=True):
+            yield member(to_warc(record, page_id, None if first is None else (first, header_url(first_url))))
+
 
-    Of rows with equal payloads of REVISIT_FROM bytes or more, those with the smallest
-    page_id are responses, others revisits of the one with the least url. A null page_id is
-    never referred to and never revisits. Batches alternate between the two ARC versions.
+def write_archives(pages: DataFrame, path: str) -> None:
+    """Write ``pages(page_id, url, html)`` as WARC files under ``path``, through ARC records.
+
+    html may be text or bytes. Of rows with equal payloads of REVISIT_FROM bytes or more,
+    those with the smallest page_id are responses, others revisits of the one with the least
+    url. A null page_id is never referred to and never revisits. Rows that repeat a page_id
+    and url are one record, written as often, under one identifier. Only digests are grouped;
+    pages stay where they are, unless there are so many payloads with copies that these are
+    joined by digest, and then only pages that may be copies move.
     """
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload.cast("binary"), 256).alias("digest"))
-    long = F.octet_length("html") >= REVISIT_FROM
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
+    long = F.octet_length("payload") >= REVISIT_FROM
     named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     firsts = rows.where(long).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = materialize(firsts, "digests")
+    n = firsts.count()
     again = long & (F.col("first.page_id") < F.col("page_id"))
-    rows = rows.join(firsts, "digest", "left").select(
-        "page_id", "url", "html", F.when(again, F.col("first.page_id")).alias("first"), F.when(again, F.col("first.url")).alias("first_url")
-    )
-
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened = False
-        for number, batch in enumerate(batches):
-            version = 1 + number % 2
-            ids, urls, texts, firsts, first_urls = (batch.column(k) for k in range(5))
-            for at in range(0, len(batch), 256):
-                block = arc_version_block(version)
-                parts, size = [block], len(block)
-                span = range(at, min(at + 256, len(batch)))
-                for i in span:
-                    record = arc_record(version, urls[i].as_py() or "-", http_response(ids[i].as_py(), texts[i].as_py().encode()), size)
-                    parts.append(record)
-                    size += len(record)
-                records = read_arc(b"".join(parts))
-                info = to_warc(next(records))
-                out = [] if opened else [info]
-                opened = True
-                for i, record in zip(span, records, strict=True):
-                    first = firsts[i].as_py()
-                    out.append(to_warc(record, ids[i].as_py(), None if first is None else (first, header_url(first_urls[i].as_py()))))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
-
-    with tidy_shuffles(pages.sparkSession):
-        rows.mapInArrow(convert, "value string").write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    columns = ["page_id", "url", "payload", F.when(again, F.col("first.page_id")).alias("first"), F.when(again, F.col("first.url")).alias("first_url")]
+    if n <= MAX_SENT:
+        marked = rows.join(F.broadcast(firsts), "digest", "left").select(*columns)
+    else:
+        bits = key_filter(firsts.select(F.xxhash64("digest").alias("key")), "key", n)
+        maybe = long & may_hold(bits, F.xxhash64("digest"))
+        copies = rows.where(maybe).join(firsts, "digest", "left").select(*columns)
+        marked = copies.union(rows.where(~maybe).select("page_id", "url", "payload", F.lit(None).cast("long"), F.lit(None).cast("string")))
+    _write(marked.mapInArrow(lambda batches: _runs(_converted(batches)), "value binary"), path)
+
+
+def convert_arcs(spark: SparkSession, arcs: str, path: str) -> None:
+    """Convert the ARC files under ``arcs``, gzipped or not, to WARC files under ``path``, all records of whatever kind.
+
+    A file is one value to Spark's reader, hence at most 2 GB; an identifier follows from the
+    file's name and the record's place in it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                for nth, record in enumerate(read_arc(data.as_py())):
+                    yield member(to_warc(record, nth, source=name.as_py().rsplit("/", 1)[-1]))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(arcs)
+    _write(files.select("path", "content").mapInArrow(lambda batches: _runs(run(batches)), "value binary"), path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -239,33 +361,33 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     for the payload it refers to.
     """
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0):
-                out = []
-                for headers, block in read_warc(data.as_py()):
-                    kind = headers["WARC-Type"]
-                    if kind not in ("response", "revisit"):
-                        continue
-                    http = _lines(block)
-                    stated = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                    size = int(http["Content-Length"])
-                    if kind == "response":
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        if hashlib.sha256(payload).hexdigest() != stated or len(payload) != size:
-                            raise ArchiveError("a payload does not match its header")
-                    shown = http["X-Page-Id"]
-                    refers = page_of(headers["WARC-Refers-To"]) if kind == "revisit" else None
-                    out.append((int(shown) if shown else None, size, stated, kind, refers))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-                )
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+
+    def parse(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for data in batch.column(0):
+            out = []
+            for headers, block in read_warc(data.as_py()):
+                kind = headers["WARC-Type"]
+                if kind not in ("response", "revisit"):
+                    continue
+                http = _lines(block)
+                stated = headers["WARC-Payload-Digest"].removeprefix("sha256:")
+                size = int(http["Content-Length"])
+                if kind == "response":
+                    payload = block.partition(b"\r\n\r\n")[2]
+                    if hashlib.sha256(payload).hexdigest() != stated or len(payload) != size:
+                        raise ArchiveError("a payload does not match its header")
+                shown = http["X-Page-Id"]
+                refers = page_of(headers["WARC-Refers-To"]) if kind == "revisit" else None
+                out.append((int(shown) if shown else None, size, stated, kind, refers))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+            )
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(parse, schema)
+    return files.select("content").mapInArrow(batchwise(parse), schema)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

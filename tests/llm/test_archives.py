@@ -3,6 +3,7 @@ import hashlib
 import random
 import uuid
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -33,6 +34,11 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.select(*COLUMNS).collect()), key=str)
 
 
+def records_of(spark, path):
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()
+    return [r for f in files for r in a.read_warc(bytes(f.content))]
+
+
 def test_query_matches_brute_force(spark):
     for sf in (SF, SF2):
         rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
@@ -109,11 +115,60 @@ def test_every_revisit_names_a_response_of_its_payload(spark):
     ]
     path = fresh_path(spark, "warc")
     a.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").collect()
-    records = [headers for f in files for headers, _ in a.read_warc(bytes(f.content))]
+    records = [headers for headers, _ in records_of(spark, path)]
     responses = {h["WARC-Record-ID"]: h for h in records if h["WARC-Type"] == "response"}
     revisits = [h for h in records if h["WARC-Type"] == "revisit"]
     assert len(revisits) == 5
     for h in revisits:
         first = responses[h["WARC-Refers-To"]]
         assert first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"]
+
+
+def test_files_are_gzip_members_rolled_and_of_both_versions(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"page {i} " * 20) for i in range(700)]
+    seen, plain = [], a.read_arc
+    monkeypatch.setattr(a, "read_arc", lambda data: seen.append(data) or plain(data))
+    members = list(a._converted([pa.RecordBatch.from_pylist([{"i": i, "u": u, "h": h.encode(), "f": None, "g": None} for i, u, h in rows])]))
+    assert {d.split(b"\n")[1][:1] for d in seen} == {b"1", b"2"} and len(members) == 701
+    monkeypatch.setattr(a, "RUN_BYTES", 4000)
+    runs = [b.column(0)[0].as_py() + b"\0" for b in a._runs(iter(members))]
+    assert len(runs) > 5 and gzip.decompress(b"".join(runs)) == b"".join(map(gzip.decompress, members))
+    assert [h["WARC-Type"] for r in runs for h, _ in a.read_warc(r)].count("response") == 700
+
+
+def test_bytes_that_are_no_text(spark):
+    rows = [(i, f"http://h/{i}", bytes(range(256)) * 3 + bytes([i // 2])) for i in range(8)]
+    path = fresh_path(spark, "warc")
+    a.write_archives(spark.createDataFrame(rows, "page_id long, url string, html binary"), path)
+    got = rows_of(a.read_archives(spark, path))
+    assert [(r[0], r[2], r[3]) for r in got] == [(i, hashlib.sha256(h).hexdigest(), "revisit" if i % 2 else "response") for i, _, h in rows]
+    assert sorted(b.partition(a.RECORD_END)[2] for h, b in records_of(spark, path) if h["WARC-Type"] == "response") == sorted(h for i, _, h in rows if not i % 2)
+
+
+def test_many_payloads_with_copies_are_joined(spark, monkeypatch):
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    monkeypatch.setattr(a, "MAX_SENT", 0)
+    path = fresh_path(spark, "warc")
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    a.write_archives(pages.union(pages), path)
+    assert rows_of(a.read_archives(spark, path)) == brute(rows + rows)
+
+
+def test_conversion_of_files(spark, tmp_path):
+    image = bytes(range(256)) * 500
+    for version, zipped in ((1, False), (2, True)):
+        parts = [a.arc_version_block(version), a.arc_record(version, "http://h/i.png", b"HTTP/1.0 200 OK\r\n\r\n" + image), a.arc_record(version, "ftp://h/f", b"raw\n\n")]
+        (tmp_path / f"{version}.arc").write_bytes(b"".join(map(gzip.compress, parts)) if zipped else b"".join(parts))
+    path = fresh_path(spark, "warc")
+    a.convert_arcs(spark, str(tmp_path), path)
+    found = records_of(spark, path)
+    assert sorted(h["WARC-Type"] for h, _ in found) == ["resource"] * 2 + ["response"] * 2 + ["warcinfo"] * 2
+    assert all(b.endswith(image) for h, b in found if h["WARC-Type"] == "response")
+    assert len({h["WARC-Record-ID"] for h, _ in found}) == 6
+
+
+@pytest.mark.parametrize("cut", [1, 5, 30])
+def test_a_cut_gzip_is_noticed(cut):
+    data = gzip.compress(a.arc_version_block(1) + a.arc_record(1, "u", b"content"))
+    with pytest.raises(a.ArchiveError):
+        list(a.read_arc(data[:-cut]))
