@@ -1,5 +1,6 @@
 import duckdb
 
+from stratavox.llm import urlgraph
 from stratavox.llm.urlgraph import OP3_SQL, RULES, Rule, judge, op3_url_filters
 from tests.conftest import SF, SF2
 
@@ -67,6 +68,43 @@ def test_links_to_blocked_pages_block_a_host(spark):
     assert got == {1: "allow", 2: "block", 3: "block", 4: "allow"}
 
 
+def judged(spark, pages, rules=RULES):
+    return {r.page_id: r for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+
+
+def test_scores_under_their_out_weight_pass_on(spark, monkeypatch):
+    """A host with more links than units of score still passes on to those that many of its links go to."""
+    monkeypatch.setattr(urlgraph, "UNIT", 1000)
+    many = link(*["http://good.net/"] * 300, *[f"http://h{i}.net/" for i in range(1000)])
+    got = judged(spark, [(1, "http://x.org/", many), (2, "http://good.net/", None), (3, "http://h1.net/", None)])
+    assert got[2].trust > 0 and got[3].trust == 0
+
+
+def test_seeds_by_the_million_reach_as_far(spark):
+    """What three hops pass on does not depend on how many other seeds there are."""
+    chain = [(1, "http://a.net/", link("http://b.net")), (2, "http://b.net/", link("http://c.net")), (3, "http://c.net/", link("http://bad.test/"))]
+    rules = (Rule("block", "bad.test", "/"),)
+    few = judged(spark, [*chain, (4, "http://bad.test/", None)], rules)
+    seeds = spark.range(1_000_000).selectExpr("id + 10 AS page_id", "concat('http://bad.test/', id) AS url", "CAST(NULL AS STRING) AS html")
+    many = {r.page_id: r for r in judge(spark.createDataFrame([*chain], "page_id long, url string, html string").union(seeds), rules).where("page_id < 4").collect()}
+    assert [few[k].verdict for k in (1, 2, 3)] == [many[k].verdict for k in (1, 2, 3)] == ["block"] * 3
+    assert all(abs(few[k].distrust - many[k].distrust) <= 10 for k in (1, 2, 3))
+
+
+def test_a_public_suffix_joins_no_strangers(spark):
+    rules = (Rule("block", "bad.co.uk", "/"), Rule("block", "10.0.0.1", "/"))
+    pages = [(1, "http://bad.co.uk/", None), (2, "http://good.co.uk/", None), (3, "http://shop.example.net/", None), (4, "http://example.net/", link("http://bad.co.uk/")), (5, "http://10.0.0.1/", None), (6, "http://9.0.0.1/", None), (7, "http://0.0.1/", None)]
+    got = judged(spark, pages, rules)
+    assert {k: got[k].verdict for k in got} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
+
+
+def test_joins_without_sending_scores(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    sent = rows_of(judge(pages))
+    monkeypatch.setattr(urlgraph, "MAX_SENT", 0)
+    assert rows_of(judge(pages)) == sent
+
+
 def test_without_rules_all_are_allowed(spark):
     out = judge(spark.createDataFrame(PAGES, "page_id long, url string, html string"), (Rule("block", "nowhere.test", "/"),))
     assert {r.verdict for r in out.collect()} == {"allow"}
