@@ -9,7 +9,7 @@ from stratavox.llm.store import materialize, release
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node of ``edges(a long, b long)``; nodes of a component share one of its nodes as root.
+    """(node, root) for every node of ``edges(a, b)``; nodes of a component share one of its nodes as root.
 
     Every round a node moves to whichever of itself and its neighbours has the least hash,
     and edges move with their ends. An edge stays within its component, so components stay

@@ -1,6 +1,8 @@
 import math
+import os
 
 import numpy as np
+import pytest
 
 from stratavox.llm import vectors
 from tests.conftest import SF, SF2
@@ -72,3 +74,29 @@ def test_odd_rows(spark):
     assert rows_of(vectors.near(df)) == brute(rows)
     assert vectors.near(df.limit(0)).count() == 0
     assert vectors.near(df.where("vec_id = 4")).collect()[0].kept
+
+
+def test_recall_on_the_check_tables(spark):
+    """Links over tens of cells, against all pairs in double precision; the README states the figures."""
+    path = "/root/testdata/check_s/embeddings.parquet"
+    if not os.path.isdir(path):
+        pytest.skip("no check tables")
+    df = spark.read.parquet(path)
+    rows = df.select("vec_id", "embedding").toPandas()
+    sound = [i for i, v in enumerate(rows.embedding) if v is not None and np.isfinite(v).all() and np.any(v)]
+    x = np.array([rows.embedding[i] for i in sound], dtype=float)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    want = dict.fromkeys(rows.vec_id, 0)
+    for a in range(0, len(x), 1000):
+        n = (x[a : a + 1000] @ x.T >= 0.95).sum(1) - 1
+        want.update(zip(rows.vec_id[sound[a : a + 1000]], n, strict=True))
+    got = {r.vec_id: r.n_links for r in vectors.near(df).collect()}
+    assert len(got) == len(want) and all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
+def test_least_linked():
+    a, b = np.array([5, 1, 7, 3]), np.array([1, 6, 3, 7])
+    assert vectors._least_linked(8, a, b).tolist() == [0, 1, 2, 3, 4, 1, 1, 3]
+    chain = np.arange(999)
+    assert not vectors._least_linked(1000, chain[::-1] + 1, chain[::-1]).any()
