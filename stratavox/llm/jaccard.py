@@ -14,7 +14,8 @@ Documents with equal sets are one class. Classes are cut down before any pair is
    class is verified against one pivot per key, components are merged, and only keys that
    still hold several components go on, with other pivots. Once few pairs across components
    are left they are all verified in blocks: the classes outside a key's main component
-   with each other and with that component, once however many keys they share. A block
+   with each other and with that component, once however many keys they share, and only
+   where sizes are near enough. A block is bounded by its classes and by its tokens, and
    gives one link for each two components.
 """
 
@@ -30,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.llm.components import components
-from stratavox.llm.store import materialize, release, table
+from stratavox.llm.filters import holds, key_filter, may_hold
+from stratavox.llm.store import batchwise, give_back, groupwise, materialize, release, table
 from stratavox.llm.words import SPACED, U64, Words, mix, ngram_hashes, slices
 
 SHINGLE = 5
@@ -44,12 +46,10 @@ FREQUENT = 9
 BUCKET_ENTRIES = 1 << 18
 #: Tokens of a lot of classes.
 FLUSH_ENTRIES = 1 << 18
-#: Bits of the filter of remaining classes: a fixed size whatever the input. Its false hits cost time only.
-FILTER_BITS = 25
 #: Rounds with pivots at most, and pairs across components per index entry at which they end.
-ROUNDS, FEW_PAIRS = 3, 32
-#: Classes in a block of those that are compared with all others of their keys.
-BLOCK = 512
+ROUNDS, FEW_PAIRS = 6, 32
+#: Classes and tokens in a block of those that are compared with others of their keys; of the others twice as many.
+BLOCK, BLOCK_TOKENS = 512, 1 << 18
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -103,16 +103,15 @@ def fingerprint(tokens: np.ndarray) -> int:
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, fp of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, fp = [], []
-            for _, _, raw, off in slices(batch.column(1)):
-                for s in shingle_sets(raw, off):
-                    n.append(len(s))
-                    fp.append(fingerprint(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n_shingles", "fp"])
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, fp = [], []
+        for _, _, raw, off in slices(batch.column(1)):
+            for s in shingle_sets(raw, off):
+                n.append(len(s))
+                fp.append(fingerprint(s))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n_shingles", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(batchwise(run), "doc_id long, n_shingles long, fp long")
 
 
 def _postings(docs: DataFrame, whole: bool, keep=None) -> DataFrame:
@@ -136,7 +135,7 @@ def _postings(docs: DataFrame, whole: bool, keep=None) -> DataFrame:
             for _, _, raw, off in slices(batch.column(0)):
                 for s in shingle_sets(raw, off):
                     fp = fingerprint(s)
-                    if not len(s) or fp in held or (keep is not None and not _may_hold(keep.value, fp)):
+                    if not len(s) or fp in held or (keep is not None and not holds(keep.value, np.array([fp]))[0]):
                         continue
                     held[fp] = s if whole else s[: int(first_look(np.int64(len(s))))]
                     size += len(held[fp])
@@ -145,6 +144,8 @@ def _postings(docs: DataFrame, whole: bool, keep=None) -> DataFrame:
                         held, size, number = {}, 0, number + 1
         if held:
             yield lot()
+        held = {}
+        give_back()
 
     return docs.select("text").mapInArrow(run, "lot long, fps binary, sizes binary, tokens binary")
 
@@ -158,25 +159,31 @@ def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _dealt(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edge = [(b << 64) // buckets for b in range(1, buckets)]
+    edges = np.array(edge, dtype=U64)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """(bucket, lot, tokens, classes of the lot that hold each) by equal ranges of the hash space."""
-        for batch in batches:
-            for lot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens, n = np.unique(np.frombuffer(data.as_buffer(), dtype=U64), return_counts=True)
-                bucket = ((tokens >> U64(32)) * U64(buckets)) >> U64(32)
+        for lot, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens = np.frombuffer(data.as_buffer(), dtype=U64)
+            if (tokens[1:] > tokens[:-1]).all():  # of one class
+                n = np.ones(len(tokens), dtype=np.uint8)
+            else:
+                tokens, n = np.unique(tokens, return_counts=True)
                 n = np.minimum(n, 255).astype(np.uint8)
-                spans = _spans(bucket)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(bucket[i]) for i, _ in spans], pa.int64()),
-                        pa.array([lot] * len(spans), pa.int64()),
-                        pa.array([tokens[i:j].tobytes() for i, j in spans], pa.binary()),
-                        pa.array([n[i:j].tobytes() for i, j in spans], pa.binary()),
-                    ],
-                    names=["bucket", "lot", "tokens", "counts"],
-                )
+            cuts = np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]])
+            spans = [(b, i, j) for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b for b, _, _ in spans], pa.int64()),
+                    pa.array([lot] * len(spans), pa.int64()),
+                    pa.array([tokens[i:j].tobytes() for _, i, j in spans], pa.binary()),
+                    pa.array([n[i:j].tobytes() for _, i, j in spans], pa.binary()),
+                ],
+                names=["bucket", "lot", "tokens", "counts"],
+            )
 
-    return run
+    return batchwise(run)
 
 
 def _bytes(column: pa.ChunkedArray, kind) -> np.ndarray:
@@ -215,11 +222,17 @@ def _measured(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     own = t.filter(pa.compute.is_valid(t.column("fps")))
     rest = t.filter(pa.compute.is_null(t.column("fps")))
     fps, sizes, tokens = _bytes(own.column("fps"), np.int64), _bytes(own.column("sizes"), np.int64), _bytes(own.column("tokens"), U64)
-    known, n = _bytes(rest.column("tokens"), U64), _bytes(rest.column("df"), np.uint32).astype(np.int64)
-    order = np.argsort(known)
-    known, n = np.append(known[order], U64(0)), np.append(n[order], 0)
-    at = np.searchsorted(known[:-1], tokens)
-    return fps, np.cumsum(sizes) - sizes, tokens, np.where(known[at] == tokens, n[at], 0)
+    # Tokens of a bucket come in order, and buckets are ranges, so their first tokens put them in order.
+    parts = [(np.frombuffer(t, U64), np.frombuffer(d, np.uint32)) for t, d in zip(rest.column("tokens").to_pylist(), rest.column("df").to_pylist(), strict=True)]
+    parts.sort(key=lambda p: p[0][0])
+    known = np.concatenate([*(t for t, _ in parts), np.zeros(1, U64)])
+    n = np.concatenate([*(d for _, d in parts), np.zeros(1, np.uint32)])
+    df = np.zeros(len(tokens), dtype=np.uint32)
+    for a in range(0, len(tokens), FLUSH_ENTRIES):
+        some = tokens[a : a + FLUSH_ENTRIES]
+        at = np.searchsorted(known[:-1], some)
+        df[a : a + FLUSH_ENTRIES] = np.where(known[at] == some, n[at], 0)
+    return fps, np.cumsum(sizes) - sizes, tokens, df
 
 
 def _count_shared(t: pa.Table) -> pa.Table:
@@ -252,25 +265,10 @@ def _by_lot(postings: DataFrame, buckets: int, function, schema: str) -> DataFra
     a lot is bounded, and so is what a token brings to a bucket, however many classes hold it.
     """
     dealt = postings.select("lot", "tokens").mapInArrow(_dealt(buckets), "bucket long, lot long, tokens binary, counts binary")
-    shared = dealt.groupBy("bucket").applyInArrow(_shared_tokens, "lot long, tokens binary, df binary")
+    shared = dealt.groupBy("bucket").applyInArrow(groupwise(_shared_tokens), "lot long, tokens binary, df binary")
     none = F.lit(None).cast("binary")
     rows = postings.select("lot", "fps", "sizes", "tokens", none.alias("df")).union(shared.select("lot", none, none, "tokens", "df"))
-    return rows.groupBy("lot").applyInArrow(function, schema)
-
-
-def _may_hold(bits: np.ndarray, fp: int) -> bool:
-    p = (fp & ((1 << 64) - 1)) >> (64 - FILTER_BITS)
-    return bool(int(bits[p >> 6]) >> (p & 63) & 1)
-
-
-def class_filter(classes: DataFrame) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits, one set per class; executors aggregate it by 64-bit words."""
-    p = F.shiftrightunsigned("fp", 64 - FILTER_BITS)
-    words = classes.select(F.shiftright(p, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(63).cast("int")).alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=U64)
-    bits[rows.column("w").to_numpy()] = rows.column("b").to_numpy().view(U64)
-    return bits
+    return rows.groupBy("lot").applyInArrow(groupwise(function), schema)
 
 
 def _lots(level: np.ndarray | int) -> int:
@@ -398,17 +396,26 @@ def _block_links(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(fp[r[one]], pa.int64()), "b": pa.array(fp[o[one]], pa.int64())})
 
 
-def _cross_links(members: DataFrame, sizes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of the classes outside a main component with all that share its keys, block by block."""
-    blocks = sizes.where("outs > 0").select(
-        "main", F.ceil(F.col("outs") / BLOCK).alias("bi"), F.ceil(F.col("all") / (2 * BLOCK)).alias("bj")
+def _cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the classes outside a main component with all that share its keys, block by block.
+
+    A class takes part at its size level and the next, so that only sizes that may be linked meet.
+    """
+    rows = members.join(sets.select("fp", "n", "tokens"), "fp")
+    level = F.floor(F.log("n") / float(np.log(100 / PERCENT))).cast("int")
+    rows = rows.withColumn("level", F.explode(F.array(level, level + 1)))
+    few = lambda classes, tokens, k: F.greatest(F.ceil(classes / (k * BLOCK)), F.ceil(tokens / (k * BLOCK_TOKENS)))
+    size = F.size("tokens")
+    blocks = rows.groupBy("main", "level").agg(
+        F.count_if("out").alias("outs"), F.sum(F.when(F.col("out"), size)).alias("out_tokens"), F.count("*").alias("all"), F.sum(size).alias("all_tokens")
     )
-    rows = members.join(blocks, "main").join(sets.select("fp", "n", "tokens"), "fp")
+    blocks = blocks.where("outs > 0 AND all > 1").select("main", "level", few(F.col("outs"), F.col("out_tokens"), 1).alias("bi"), few(F.col("all"), F.col("all_tokens"), 2).alias("bj"))
+    rows = rows.join(blocks, ["main", "level"])
     i, j = F.pmod(F.xxhash64("fp"), "bi"), F.pmod(F.xxhash64("fp", F.lit(1)), "bj")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = rows.where("out").select("main", i.alias("i"), every("bj").alias("j"), "fp", "root", "n", "tokens", F.lit(True).alias("left"))
-    right = rows.select("main", every("bi").alias("i"), j.alias("j"), "fp", "root", "n", "tokens", F.lit(False).alias("left"))
-    return left.union(right).groupBy("main", "i", "j").applyInArrow(_block_links, "a long, b long")
+    left = rows.where("out").select("main", "level", i.alias("i"), every("bj").alias("j"), "fp", "root", "n", "tokens", F.lit(True).alias("left"))
+    right = rows.select("main", "level", every("bi").alias("i"), j.alias("j"), "fp", "root", "n", "tokens", F.lit(False).alias("left"))
+    return left.union(right).groupBy("main", "level", "i", "j").applyInArrow(groupwise(_block_links), "a long, b long")
 
 
 def _link_classes(sets: DataFrame) -> DataFrame:
@@ -417,9 +424,11 @@ def _link_classes(sets: DataFrame) -> DataFrame:
     keys = index.groupBy("sig").agg(F.count("*").alias("k"), F.min(F.struct("fp", "n")).alias("pivot")).where("k > 1")
     active = materialize(index.join(keys, "sig").select("sig", "fp", "n", F.col("pivot.fp").alias("pf"), F.col("pivot.n").alias("pn")), "keys")
     release(index)
+    made = [active]
     fresh = active.where("fp <> pf").where(_alike("n", "pn")).select(*_pairs("fp", "pf")).distinct()
     tried = materialize(fresh, "pairs")
     links = materialize(_linked(tried, sets), "links")
+    made += [tried, links]
     active = active.select("sig", "fp", "n")
     for turn in range(1, ROUNDS + 1):
         roots = components(links)
@@ -432,23 +441,29 @@ def _link_classes(sets: DataFrame) -> DataFrame:
             .agg(F.count("*").alias("roots"), F.min("pivot").alias("pivot"), F.max(F.struct("k", "root")).alias("main"))
             .where("roots > 1")
         )
+        made.append(roots)
         open_rows = materialize(named.join(open_keys, "sig").select("sig", "fp", "n", "root", "pivot", "main"), "keys")
         outside = open_rows.where("root <> main.root").select(F.col("main.root").alias("main"), "fp", "root").distinct()
         inside = open_rows.where("root = main.root").select(F.col("root").alias("main"), "fp", "root").distinct()
         members = materialize(outside.withColumn("out", F.lit(True)).union(inside.withColumn("out", F.lit(False))), "members")
+        made += [open_rows, members]
         sizes = members.groupBy("main").agg(F.count_if("out").alias("outs"), F.count("*").alias("all"))
         cross = sizes.agg(F.sum(F.col("outs") * F.col("all"))).first()[0]
         if not cross:
             break
         if turn == ROUNDS or cross <= FEW_PAIRS * open_rows.count():
-            links = links.union(materialize(_cross_links(members, sizes, sets), "links"))
+            made.append(materialize(_cross_links(members, sets), "links"))
+            links = links.union(made[-1])
             break
         fresh = open_rows.where("root <> pivot.root").select("fp", "n", F.col("pivot.fp").alias("pf"), F.col("pivot.n").alias("pn"))
         fresh = fresh.where(_alike("n", "pn")).select(*_pairs("fp", "pf")).distinct().join(tried, ["a", "b"], "left_anti")
         fresh = materialize(fresh, "pairs")
         found = materialize(_linked(fresh, sets), "links")
+        made += [fresh, found]
         links, tried, active = links.union(found), tried.union(fresh), open_rows.select("sig", "fp", "n")
-    return components(links)
+    out = components(links)
+    release(*made)
+    return out
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -458,7 +473,6 @@ def join(docs: DataFrame) -> DataFrame:
     component. Repeated rows are copies. A null doc_id never names a component: a component
     of null ids only has a null one.
     """
-    spark = docs.sparkSession
     own = materialize(_sets(docs), "sets")
     classes = own.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     classes = materialize(classes, "classes")
@@ -471,9 +485,9 @@ def join(docs: DataFrame) -> DataFrame:
     looked = _by_lot(postings, buckets, _count_shared, "fp long, shared long").groupBy("fp").agg(F.max("shared").alias("shared"))
     hopeful = materialize(looked.join(classes, "fp").where(F.col("shared") >= least_met(n, look)).select("fp", "n"), "hopeful")
     release(postings)
-    keep = spark.sparkContext.broadcast(class_filter(hopeful))
+    kept, total = hopeful.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    keep = key_filter(hopeful, "fp", kept)
 
-    total = hopeful.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = int(total // BUCKET_ENTRIES) + 8
     postings = materialize(_postings(docs, whole=True, keep=keep), "postings")
     sets = _by_lot(postings, buckets, _ordered_sets, "fp long, rare long, tokens array<long>")
@@ -482,6 +496,7 @@ def join(docs: DataFrame) -> DataFrame:
     release(postings)
 
     roots = _link_classes(sets)
+    release(sets, hopeful)
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "root").select("fp", "component_id")
@@ -490,18 +505,6 @@ def join(docs: DataFrame) -> DataFrame:
     )
 
 
-def _may_be_in(ids: DataFrame):
-    """A test of doc_id, by the filter of fixed size: true for all of ``ids``, and for few others."""
-    keep = ids.sparkSession.sparkContext.broadcast(class_filter(ids.select(F.xxhash64("doc_id").alias("fp"))))
-
-    @F.arrow_udf("boolean")
-    def test(h: pa.Array) -> pa.Array:
-        p = h.to_numpy().view(U64) >> U64(64 - FILTER_BITS)
-        return pa.array((keep.value[(p >> U64(6)).astype(np.int64)] >> (p & U64(63)) & U64(1)).astype(bool))
-
-    return test(F.xxhash64("doc_id"))
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of every component: the one with the smallest doc_id.
 
@@ -513,7 +516,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     repeated = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
     repeated = materialize(repeated, "repeated")
-    maybe = F.col("doc_id").isNotNull() & _may_be_in(gone.union(repeated))
+    both = gone.union(repeated).select(F.xxhash64("doc_id").alias("key"))
+    maybe = F.col("doc_id").isNotNull() & may_hold(key_filter(both, "key", both.count()), F.xxhash64("doc_id"))
     rest = docs.where(maybe).join(gone, "doc_id", "left_anti").select(*docs.columns)
     if not repeated.isEmpty():
         single = rest.join(repeated, "doc_id", "left_anti")

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratavox.llm import jaccard
 from tests.conftest import SF, SF2
@@ -90,7 +91,7 @@ def test_crowds_under_other_parameters(spark, words, monkeypatch):
     """Few rare tokens, small blocks, all rounds: the same components."""
     rows = crowd(words, 9, 150, 120, 10)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for name, value in (("FREQUENT", 2), ("BLOCK", 16), ("FEW_PAIRS", 0), ("BUCKET_ENTRIES", 500)):
+    for name, value in (("FREQUENT", 2), ("BLOCK", 16), ("BLOCK_TOKENS", 300), ("FEW_PAIRS", 0), ("ROUNDS", 2), ("BUCKET_ENTRIES", 500)):
         monkeypatch.setattr(jaccard, name, value)
     check(jaccard.join(docs), rows)
 
@@ -169,3 +170,32 @@ def test_first_looks_meet_in_the_worst_order(spark):
             both = -(-4 * (k + m) // 9)
             if both <= min(k, m):
                 assert least[k] <= min(look[k] - (k - both), look[m] - (m - both)), (k, m)
+
+
+def test_a_filter_follows_the_number_of_keys(spark):
+    import numpy as np
+
+    from stratavox.llm import filters
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("h"))
+    bits = filters.bitmap(keys, "h", 3000)
+    assert len(bits) << 6 == 1 << 16 and filters.filter_bits(10**6) == 24 and filters.filter_bits(10**12) == 30
+    held = np.array([r.h for r in keys.collect()], dtype=np.int64)
+    other = np.array([r.h for r in spark.range(10_000, 20_000).select(F.xxhash64("id").alias("h")).collect()], dtype=np.int64)
+    assert filters.holds(bits, held).all() and filters.holds(bits, other).mean() < 0.1
+    shared = filters.key_filter(keys, "h", 3000)
+    assert spark.range(3000).where(filters.may_hold(shared, F.xxhash64("id"))).count() == 3000
+
+
+def test_long_near_copies(spark, words):
+    """Long texts, each a near copy of another, in blocks bounded by tokens."""
+    rng = random.Random(8)
+    base = [rng.choice(words) for _ in range(20_000)]
+    rows = []
+    for k in range(12):
+        copy = list(base)
+        copy[100 * k] = "other"
+        rows.append((k, " ".join(copy)))
+    rows.append((99, " ".join(rng.choice(words) for _ in range(300_000))))
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**dict.fromkeys(range(12), 0), 99: 99}
