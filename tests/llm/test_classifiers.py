@@ -186,3 +186,41 @@ def test_a_long_labelled_text_takes_part(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2], r[2]) for r in rows], "doc_id long, quality int, toxic int")
     assert toxicity.score(docs, labels).where("doc_id = 3").count() == 1
+
+
+def plain_statistics(text):
+    """The statistics of a document, one by one."""
+    b = (text or "").encode()
+    if not b:
+        return np.zeros(quality.STATISTICS)
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    kinds = [0] * quality._KINDS
+    for c in b:
+        kinds[quality._KIND[c]] += 1
+    words, folded = (re.findall(rb"[^\x20\x09-\x0D]+", x) for x in (b, low))
+    n = max(len(words), 1)
+    sizes = [len(x) for x in words]
+    grams = [tuple(folded[i : i + 3]) for i in range(len(words) - 2)]
+    most = lambda x: max((x.count(v) for v in set(x)), default=0)
+    mean = sum(sizes) / n
+    return np.array(
+        [*(k / len(b) for k in kinds), np.log1p(len(b)), np.log1p(len(words)), mean, np.sqrt(max(0, sum(x * x for x in sizes) / n - mean**2)), len(set(folded)) / n, most(folded) / n]
+        + [len(set(grams)) / max(len(grams), 1), most(grams) / max(len(grams), 1), sum(65 <= x[0] <= 90 for x in words) / n, sum(quality._KIND[x[-1]] >= quality._STOP for x in words) / n]
+        + [np.log1p(len(b) / (kinds[quality._NEWLINE] + 1))]
+    )
+
+
+def test_quality_query_equals_brute_force(spark):
+    """Every score by a walk over every tree from statistics counted one by one."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    forest = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.op10_quality(spark, SF).collect()}
+    rows = [r for r in docs.collect() if len(r.text or "") < 20_000]
+    for r in rows:
+        x, total = plain_statistics(r.text), forest.base
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if x[forest.feature[node]] <= forest.cut[node] else forest.right[node]
+            total += forest.value[node]
+        assert got[r.doc_id] == pytest.approx(float(labelled.sigmoid(np.array([total]))[0]), abs=1e-9)
+    assert len(rows) > 100

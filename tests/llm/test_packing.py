@@ -1,3 +1,4 @@
+import hashlib
 import random
 import time
 from collections import Counter, defaultdict
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from stratavox.llm.packing import Bins, op6_packing, pack
-from tests.conftest import SF2
+from tests.conftest import SF, SF2
 
 
 def plain_best_fit(items, capacity, per_source):
@@ -103,3 +104,24 @@ def test_a_hot_cluster_or_source_is_passed_over_fast():
         for i in range(8192):
             b.put(1 + (8192 - i) // 100, source(i), cluster(i))
         assert time.time() - began < 4
+
+
+def test_query_equals_plain_best_fit(spark):
+    """The whole query by hand: pieces in order of size and document, each into the tightest bin without conflict."""
+    rest, full, empty = [], [], []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        text = (r.text or "").encode()
+        n, mark = len(text.split()), int.from_bytes(hashlib.blake2b(text.lower(), digest_size=8).digest(), "big", signed=True)
+        empty += [(r.doc_id, 0, 0, 0)] * (n == 0)
+        for piece, first in enumerate(range(0, n, 2048)):
+            size = min(2048, n - first)
+            (full if size == 2048 else rest).append((-size, r.doc_id, mark, r.source, piece, first))
+    rest.sort()
+    bins = plain_best_fit([(-s, source, mark) for s, _, mark, source, _, _ in rest], 2048, 4)
+    want = {(i, piece, first, -s): f"group-0-{b}" for (s, i, _, _, piece, first), b in zip(rest, bins, strict=True)}
+    out = op6_packing(spark, SF).collect()
+    got = {(r.doc_id, r.piece, r.first_word, r.size): r.bin_id for r in out}
+    assert len(out) == len(got) == len(rest) + len(full) + len(empty)
+    assert {k: got[k] for k in want} == want and all(got[k] is None for k in empty)
+    alone = [got[i, piece, first, 2048] for _, i, _, _, piece, first in full]
+    assert len(set(alone)) == len(alone) and all(b.startswith("row-") for b in alone)

@@ -49,3 +49,25 @@ def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "bin_id", "size"} <= set(out.columns) and out.count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def folder_of(path, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+def test_odd_and_empty_tables(spark, odd_docs, tmp_path):
+    """Null ids, texts and labels, very long texts, repeated rows, clashing columns; then no rows at all."""
+    labels = spark.createDataFrame([(k % 18, int(k % 5 > 0), int(k % 7 == 0), "x") for k in range(60)] + [(None, 1, 1, None), (3, None, None, None)], "doc_id long, quality int, toxic int, text string")
+    benchmark = spark.createDataFrame([(1, "only these words"), (None, "a b c"), (2, None)], "item_id long, text string")
+    docs, sf_dir = odd_docs, folder_of(tmp_path / "odd", documents=odd_docs, labels=labels, benchmark=benchmark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = materialize(stage(spark, docs, sf_dir), name)
+        assert kept.columns == docs.columns and kept.count() <= docs.count()
+        docs = kept
+    assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    none = folder_of(tmp_path / "none", documents=odd_docs.limit(0), labels=labels.limit(0), benchmark=benchmark.limit(0))
+    assert corpus_pipeline.run(spark, none).count() == 0
+    unlabelled = folder_of(tmp_path / "unlabelled", documents=odd_docs, labels=labels.limit(0), benchmark=benchmark.limit(0))
+    assert corpus_pipeline.run(spark, unlabelled).count() > 0
