@@ -52,13 +52,14 @@ def texts(items: list[str]) -> bytes:
 
 def pack(indices: np.ndarray, bits: int, spanning: bool = False) -> np.ndarray:
     """64-bit words of entries, lowest bits first; with ``spanning`` without gaps."""
-    values = [int(i) for i in indices]
+    values = np.asarray(indices).astype(np.uint64)
     if spanning:
-        whole = sum(v << (k * bits) for k, v in enumerate(values))
-        n = -(-len(values) * bits // 64)
-        return np.array([whole >> (64 * k) & (1 << 64) - 1 for k in range(n)], dtype=np.uint64)
+        each = values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)
+        stream = np.packbits(each.ravel().astype(np.uint8), bitorder="little")
+        return np.pad(stream, (0, -len(stream) % 8)).view("<u8")
     per = 64 // bits
-    return np.array([sum(v << (k * bits) for k, v in enumerate(values[a : a + per])) for a in range(0, len(values), per)], dtype=np.uint64)
+    rows = np.pad(values, (0, -len(values) % per)).reshape(-1, per)
+    return np.bitwise_or.reduce(rows << np.arange(per, dtype=np.uint64) * np.uint64(bits), axis=1)
 
 
 def _palette(names: list[str]) -> bytes:
