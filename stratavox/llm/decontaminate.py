@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavox.llm.store import batchwise, table
+from stratavox.llm.store import batchwise, give_back, table
 from stratavox.llm.words import LETTERED, U64, Words, ngram_hashes, slices
 
 WINDOW = 10
@@ -169,6 +169,8 @@ def known_windows(benchmark: DataFrame, window: int = WINDOW, part_bytes: int =
         t = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow()
         ids, texts = (t.column(c).combine_chunks() for c in ("item_id", "text"))
         out.append(benchmark.sparkSession.sparkContext.broadcast(window_set(ids, texts, window)))
+        del t, ids, texts
+        give_back()
     return KnownWindows(out)
 
 

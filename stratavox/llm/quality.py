@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.llm.labelled import fold, label_sample, sigmoid
-from stratavox.llm.store import batchwise, table
+from stratavox.llm.store import batchwise, give_back, table
 from stratavox.llm.words import SLICE_BYTES, SPACED, Words, ngram_hashes, slices
 
 PARTS, HELD_OUT = 5, 0
@@ -212,10 +212,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Forest:
     n = rows.count()
     if n > 2 * MAX_TRAIN:  # ids that many rows repeat
         rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(MAX_TRAIN / n * (1 << 30)))
-    rows = rows.select("text", "y").mapInArrow(batchwise(measure), "x array<double>, y int").collect()
-    order = sorted((tuple(r["x"]), r["y"]) for r in rows)
-    x = np.array([r[0] for r in order]).reshape(len(order), STATISTICS)
-    return grow(x, np.array([r[1] for r in order], dtype=float))
+    t = rows.select("text", "y").mapInArrow(batchwise(measure), "x array<double>, y int").toArrow()
+    x, y = t.column("x").combine_chunks().flatten().to_numpy().reshape(len(t), STATISTICS), t.column("y").to_numpy().astype(float)
+    order = np.lexsort((y, *x.T[::-1]))
+    forest = grow(x[order], y[order])
+    del t, x, y
+    give_back()
+    return forest
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

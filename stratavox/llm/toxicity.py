@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavox.llm.labelled import fit_logistic, fold, label_sample, sigmoid
-from stratavox.llm.store import batchwise, table
+from stratavox.llm.store import batchwise, give_back, table
 from stratavox.llm.words import SPACED, U64, Words, ngram_hashes, slices
 
 PARTS, HELD_OUT = 3, 1
@@ -39,6 +39,8 @@ _AT_ONCE = 1 << 16
 ORDINARY_BYTES, TOXIC_BYTES, ORDINARY_SEGMENT, TOXIC_SEGMENT, SAMPLE = 64 << 10, 4 << 10, 64, 24, 160
 #: Times that a run of bytes must be as common in toxic documents as in ordinary ones to be a sample.
 CONTRAST = 40.0
+#: Toxic rows are few: how far scores suppose their share, by odds, from the sample's (0) to an even one (1).
+PRIOR_SHIFT = 0.65
 #: Parts that the calibration measures in turn.
 FOLDS = 3
 FEATURES = 5
@@ -140,7 +142,9 @@ def _passages(toxic: list[np.ndarray], ordinary_df: np.ndarray, toxic_df: np.nda
 
     Zeros after each keep the trainer's segments from running on into the next.
     """
-    strong = ((toxic_df + 0.5) / (len(toxic) + 1) > CONTRAST * (ordinary_df + 0.5) / (n_ordinary + 1)) & (toxic_df >= max(4, 0.008 * len(toxic)))
+    common = np.flatnonzero(toxic_df >= max(4, 0.008 * len(toxic)))
+    strong = np.zeros(len(toxic_df), dtype=bool)
+    strong[common] = (toxic_df[common] + 0.5) / (len(toxic) + 1) > CONTRAST * (ordinary_df[common] + 0.5) / (n_ordinary + 1)
     out = []
     for b in toxic:
         edge = np.diff(np.concatenate([[0], strong[_grams(b)].astype(np.int8), [0]]))
@@ -151,9 +155,8 @@ def _passages(toxic: list[np.ndarray], ordinary_df: np.ndarray, toxic_df: np.nda
 
 @dataclass
 class _Row:
-    """A training row: its text, folded bytes, distinct byte runs, and label."""
+    """A training row: its folded bytes, distinct byte runs, and label."""
 
-    text: str
     folded: np.ndarray
     grams: np.ndarray
     y: int
@@ -193,23 +196,24 @@ def train(rows: list[tuple[object, str, int]]) -> ToxicModel:
     """Fit on (doc_id, text, label) rows without copies.
 
     For the calibration the rows are split in FOLDS: each part is measured with dictionaries
-    trained on the others. The final dictionaries are trained on all. Toxic rows are few;
-    scores suppose a share half-way (by odds) between the sample's and an even one. Without
-    both labels the score is the labels' mean, or 0.5 without labels.
+    trained on the others. The final dictionaries are trained on all. PRIOR_SHIFT
+    then moves the scores. Without both labels the score is the labels' mean, or 0.5 without labels.
     """
     rows = sorted(((t, y, i) for i, t, y in rows if t is not None), key=lambda r: (str(r[2]), r[0]))
     prior = float(np.mean([y for _, y, _ in rows])) if rows else 0.5
-    known = [_Row(t, b := _folded(t), np.unique(_grams(b)), y) for t, y, _ in _without_copies(rows)]
+    known = [_Row(b := _folded(t), np.unique(_grams(b)), y) for t, y, _ in _without_copies(rows)]
+    del rows
     y = np.array([r.y for r in known])
     model = _dictionaries(known, prior)
     if min((y == 1).sum(), (y == 0).sum()) >= FOLDS:
         x = np.zeros((len(known), FEATURES))
         for k in range(FOLDS):
             pair = _dictionaries([r for j, r in enumerate(known) if j % FOLDS != k], prior).compressors()
-            part = pa.array([r.text for r in known[k::FOLDS]], pa.large_string())
-            x[k::FOLDS] = np.concatenate([features(raw, off, pair) for _, _, raw, off in slices(part)])
+            for j in range(k, len(known), FOLDS):
+                own = known[j].folded[1:-1]
+                x[j] = features(own, np.array([0, len(own)]), pair)[0]
         model.weights = fit_logistic(x, y)
-        model.weights[-1] += 0.5 * np.log((y == 0).sum() / (y == 1).sum())
+        model.weights[-1] += PRIOR_SHIFT * np.log((y == 0).sum() / (y == 1).sum())
     return model
 
 
@@ -227,7 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     t = rows.select("doc_id", "text", "y").toArrow()
-    return train(list(zip(*(t.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True)))
+    model = train([(i.as_py(), text.as_py(), y.as_py()) for i, text, y in zip(*(t.column(c) for c in ("doc_id", "text", "y")), strict=True)])
+    del t
+    give_back()
+    return model
 
 
 def scorer(shared):
