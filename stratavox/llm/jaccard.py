@@ -401,21 +401,23 @@ def _cross_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     A class takes part at its size level and the next, so that only sizes that may be linked meet.
     """
-    rows = members.join(sets.select("fp", "n", "tokens"), "fp")
+    size = F.size("tokens")
+    rows = members.join(sets.select("fp", "n", size.alias("size")), "fp")
     level = F.floor(F.log("n") / float(np.log(100 / PERCENT))).cast("int")
     rows = rows.withColumn("level", F.explode(F.array(level, level + 1)))
     few = lambda classes, tokens, k: F.greatest(F.ceil(classes / (k * BLOCK)), F.ceil(tokens / (k * BLOCK_TOKENS)))
-    size = F.size("tokens")
     blocks = rows.groupBy("main", "level").agg(
-        F.count_if("out").alias("outs"), F.sum(F.when(F.col("out"), size)).alias("out_tokens"), F.count("*").alias("all"), F.sum(size).alias("all_tokens")
+        F.count_if("out").alias("outs"), F.sum(F.when(F.col("out"), F.col("size"))).alias("out_tokens"), F.count("*").alias("all"), F.sum("size").alias("all_tokens")
     )
     blocks = blocks.where("outs > 0 AND all > 1").select("main", "level", few(F.col("outs"), F.col("out_tokens"), 1).alias("bi"), few(F.col("all"), F.col("all_tokens"), 2).alias("bj"))
     rows = rows.join(blocks, ["main", "level"])
     i, j = F.pmod(F.xxhash64("fp"), "bi"), F.pmod(F.xxhash64("fp", F.lit(1)), "bj")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = rows.where("out").select("main", "level", i.alias("i"), every("bj").alias("j"), "fp", "root", "n", "tokens", F.lit(True).alias("left"))
-    right = rows.select("main", "level", every("bi").alias("i"), j.alias("j"), "fp", "root", "n", "tokens", F.lit(False).alias("left"))
-    return left.union(right).groupBy("main", "level", "i", "j").applyInArrow(groupwise(_block_links), "a long, b long")
+    left = rows.where("out").select("main", "level", i.alias("i"), every("bj").alias("j"), "fp", "root", F.lit(True).alias("left"))
+    right = rows.select("main", "level", every("bi").alias("i"), j.alias("j"), "fp", "root", F.lit(False).alias("left"))
+    # Tokens come last, so that rows are dealt out by block and not by main component.
+    dealt = materialize(left.union(right), "blocks").join(sets.select("fp", "n", "tokens"), "fp")
+    return dealt.groupBy("main", "level", "i", "j").applyInArrow(groupwise(_block_links), "a long, b long")
 
 
 def _link_classes(sets: DataFrame) -> DataFrame:
